@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dialoom.llm import ann, exactdedup, langid, linededup, mixing, packing, sharding, tokencount, urlfilter
+from dialoom.llm import ann, exactdedup, langid, linededup, mixing, neardup, packing, sharding, tokencount, urlfilter
 from dialoom.llm.storage import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op7_linededup": lambda spark, d: linededup.op7_linededup(table(spark, d, "documents")),
         "op8_sharding": lambda spark, d: sharding.op8_sharding(table(spark, d, "documents")),
         "op9_urlfilter": lambda spark, d: urlfilter.judge_urls(table(spark, d, "pages"), urlfilter.RULES),
+        "op10_neardup": lambda spark, d: neardup.op10_neardup(table(spark, d, "documents")),
     }
 
 
