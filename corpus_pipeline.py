@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from dialoom.llm import langid, linededup, mixing, neardup, packing
 from dialoom.llm.storage import documents_schema, stored, table
 
-REPEATS = 2  # a mix takes a document at most so often
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which no language can be told (null text or no letter) and set ``lang`` to the prediction."""
@@ -31,10 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class: the one with the smallest doc_id."""
-    classes = neardup.near_duplicate_classes(docs)
-    gone = stored(classes.filter(~F.col("kept")).select("doc_id"), "gone")
-    return docs.select(*documents_schema()).join(gone.hint("merge"), "doc_id", "left_anti").select(*documents_schema())
+    """Keep one document of each near-duplicate class: that with the smallest doc_id."""
+    return neardup.drop_near_duplicates(docs.select(*documents_schema()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

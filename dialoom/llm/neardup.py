@@ -160,7 +160,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def _sign(settings: Settings):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts, at = batch.column("_row"), batch.column("text"), 0
+            texts, at = batch.column("text"), 0
             while at < len(batch):
                 bags, keys, total, begin = [], [], 0, at
                 while at < len(batch) and total < BLOCK_WORDS:
@@ -172,8 +172,8 @@ def _sign(settings: Settings):
                 bands = band_keys(signatures(bags, settings.bands * settings.rows, settings.seed), settings)
                 own = [None if not len(bag) else keys_ for bag, keys_ in zip(bags, bands, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.slice(begin, at - begin), batch.column("doc_id").slice(begin, at - begin), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(own, pa.list_(pa.int64()))],
-                    ["_row", "doc_id", "_t0", "_t1", "_bands"],
+                    [*[batch.column(c).slice(begin, at - begin) for c in ("_row", "doc_id", "_hash")], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(own, pa.list_(pa.int64()))],
+                    ["_row", "doc_id", "_hash", "_t0", "_t1", "_bands"],
                 )
 
     return run
@@ -221,7 +221,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, least: float, name: str) -> Dat
 
 
 def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings(), bloom_bits: int = BLOOM_BITS) -> DataFrame:
-    """doc_id, class_id, class_size, kept of every row.
+    """doc_id, class_id, class_size, kept and _hash (of the text) of every row.
 
     Texts are multisets of ``shingle`` consecutive lower-cased words. Two texts are linked when
     they share a band and their exact weighted Jaccard is at least ``similarity``; classes are the
@@ -234,8 +234,8 @@ def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings()
     the pairs of different classes that are left in buckets are few, or after STAR_ROUNDS rounds,
     all of them are compared, so no link between classes is missed.
     """
-    rows = documents.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    signed = stored(rows.mapInArrow(_sign(settings), "_row long, doc_id long, _t0 long, _t1 long, _bands array<long>"), "signed")
+    rows = documents.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("_hash"), "text")
+    signed = stored(rows.mapInArrow(_sign(settings), "_row long, doc_id long, _hash long, _t0 long, _t1 long, _bands array<long>"), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
     texts = stored(
         signed.groupBy("_t0", "_t1").agg(F.min("_row").alias("_rep"), F.first("_bands").alias("_bands"), F.min(order).alias("_first"), F.count("*").alias("_n")), "texts"
@@ -249,8 +249,8 @@ def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings()
     )
     found = stored(labels.groupBy("_class").agg(F.min("_first").alias("_best"), F.sum("_n").alias("_size")), "classes")
     named = stored(labels.select("_t0", "_t1", "_class").join(found, "_class").select("_t0", "_t1", "_best", "_size"), "named")
-    return signed.select("_row", "doc_id", "_t0", "_t1").join(named, ["_t0", "_t1"]).select(
-        "doc_id", F.col("_best.d").alias("class_id"), F.col("_size").alias("class_size"), (F.col("_row") == F.col("_best.r")).alias("kept"), "_row"
+    return signed.select("_row", "doc_id", "_hash", "_t0", "_t1").join(named, ["_t0", "_t1"]).select(
+        "doc_id", F.col("_best.d").alias("class_id"), F.col("_size").alias("class_size"), (F.col("_row") == F.col("_best.r")).alias("kept"), "_hash"
     )
 
 
@@ -298,6 +298,15 @@ def _classes(documents: DataFrame, texts: DataFrame, members: DataFrame, setting
     return components if links is not None else spark.createDataFrame([], "_rep long, _class long")
 
 
+def drop_near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``documents`` that ``near_duplicate_classes`` keeps, one a class, with all columns."""
+    kept = near_duplicate_classes(documents, settings).filter("kept").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"))
+    kept = stored(kept, "kept").hint("merge")
+    rows = documents.withColumn("_hash", F.xxhash64("text"))
+    same = rows["_hash"].eqNullSafe(kept["_h"]) & rows["doc_id"].eqNullSafe(kept["_id"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+
+
 def op10_neardup(documents: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, kept of every document."""
-    return near_duplicate_classes(documents).drop("_row")
+    return near_duplicate_classes(documents).drop("_hash")
