@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.plans import curation
+from dialoom.plans import curation, dialogue
 
-MODULES = (curation,)
+MODULES = (curation, dialogue)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
