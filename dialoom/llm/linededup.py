@@ -50,7 +50,7 @@ def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     windows = _windows(documents)
     firsts = windows.groupBy("_h", "_g").agg(F.min("_owner").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     firsts = stored(firsts.drop("_n"), "windows")
-    repeats = windows.join(firsts, ["_h", "_g"])
+    repeats = windows.join(firsts.hint("merge"), ["_h", "_g"])
     later = repeats.filter("_owner > _first").select("_owner", "_text", "_lines")
     own = repeats.filter("_owner = _first").groupBy("_owner", "_text", "_h", "_g").agg(F.array_sort(F.collect_set("_lines")).alias("_all"))
     again = own.filter(F.size("_all") > 1).select("_owner", "_text", F.explode(F.slice("_all", 2, F.size("_all") - 1)).alias("_lines"))
@@ -63,7 +63,7 @@ def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     cleaned = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return keyed.join(gone, ["_owner", "_text"], "left").select(
+    return keyed.join(gone.hint("merge"), ["_owner", "_text"], "left").select(
         *[cleaned.alias("text") if c == "text" else F.col(c) for c in documents.columns],
         F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("n_removed"),
