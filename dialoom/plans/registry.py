@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.plans import curation, dialogue
+from dialoom.plans import curation, dialogue, scoring
 
-MODULES = (curation, dialogue)
+MODULES = (curation, dialogue, scoring)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
