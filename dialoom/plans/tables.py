@@ -207,7 +207,7 @@ def _(spark, d):
     return table(spark, d, "region").select("r_name").crossJoin(levels)
 
 
-_LAST_WINS = "SELECT l_orderkey AS insert_id, max_by(l_partkey, l_linenumber * 1000000000 + l_partkey) AS entry FROM lineitem GROUP BY l_orderkey"
+_LAST_WINS = "SELECT l_orderkey AS insert_id, max_by(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS entry FROM lineitem GROUP BY l_orderkey"
 
 
 @P.query("src10_ledger_last_wins", _LAST_WINS)
