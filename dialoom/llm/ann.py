@@ -144,13 +144,15 @@ def _scan_block(index, kept: int):
     return run
 
 
-def build_index(vectors: DataFrame, dimension: int, seed: int = 5) -> tuple[Index, int]:
+def build_index(vectors: DataFrame, dimension: int, seed: int = 5) -> tuple[Index | None, int]:
     """Centroids and codebooks from a sample of about SAMPLE rows chosen by a hash of vec_id, and the row count."""
     n = vectors.count()
+    if not n:
+        return None, 0
     share = min(1.0, SAMPLE / max(n, 1))
     chosen = vectors.filter(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE)
     sample = np.array(chosen.select("v").toPandas()["v"].tolist(), np.float32).reshape(-1, dimension)
-    if not len(sample) and n:
+    if not len(sample):
         sample = np.array(vectors.select("v").limit(SAMPLE).toPandas()["v"].tolist(), np.float32)
     return fit(sample, int(min(MAX_LISTS, max(1, n**0.5)))), n
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 UNKNOWN = "und"
 SAMPLE_ROWS = 64  # labelled rows a language is learned from
 SAMPLE_CHARS = 512  # characters taken of each, from a place that its id decides
+SALTS = 64  # parts of a language's rows when the sample is drawn
 LANE = 256  # bytes parsed in a row; texts are parsed as so many independent lanes
 BLOCK = 1 << 22  # bytes a worker parses at a time
 _LETTER = re.compile(r"[^\W\d_]")
@@ -96,7 +97,7 @@ def train(samples: dict[str, list[str]]) -> Models:
 
 def phrase_counts(texts: list[bytes], models: Models) -> np.ndarray:
     """Phrases (rows: texts, columns: languages) of the greedy parse: each is the longest match in the
-    automaton; a byte that matches nothing is a phrase. A lane's end also ends a phrase."""
+    automaton, and a byte that matches nothing is one; a lane's end also ends a phrase."""
     data = models.classes[np.frombuffer(b"".join(texts), np.uint8)]
     sizes = np.array([len(x) for x in texts])
     lanes = -(-sizes // LANE)
@@ -115,10 +116,10 @@ def phrase_counts(texts: list[bytes], models: Models) -> np.ndarray:
         for k, model in enumerate(models.automata):
             after = model.steps[states[k][:live] * models.symbols + symbol]
             miss = after == 0
-            counts[k][:live] += miss
+            counts[k][:live] += miss | (states[k][:live] == 0)  # where a phrase begins
             states[k][:live] = np.where(miss, model.steps[symbol], after)
     for k in range(len(models.automata)):
-        out[:, k] = np.bincount(owner, weights=counts[k] + 1, minlength=len(texts))
+        out[:, k] = np.bincount(owner, weights=counts[k], minlength=len(texts))
     return out
 
 
@@ -157,9 +158,13 @@ def labelled_sample(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int =
     Only rows with doc_id and lang that are not held out count; a seeded order of doc_id chooses
     them, before any text is read.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    picked = known.select("doc_id", "lang").distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows).drop("_r")
+    picked = known.select("doc_id", "lang").distinct().withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    for group in (["lang", "_salt"], ["lang"]):  # first within parts of a language, so that no task gets all its rows
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        picked = picked.withColumn("_r", nth).filter(F.col("_r") <= rows).drop("_r")
+    picked = picked.drop("_salt")
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
     texts = known.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", F.substring("text", start, F.lit(chars)).alias("x"))
     found: dict[str, list[str]] = {}
