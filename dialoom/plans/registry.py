@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.plans import curation, dialogue, scoring, tables
+from dialoom.plans import curation, dialogue, scoring, structures, tables
 
-MODULES = (curation, dialogue, scoring, tables)
+MODULES = (curation, dialogue, scoring, structures, tables)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
