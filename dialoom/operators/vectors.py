@@ -12,10 +12,10 @@ def lloyd_max(dimension: int, bits: int, grid: int = 20_001, rounds: int = 200)
     """Lloyd-Max levels for a coordinate of a random unit vector: density (1 - x^2)^((d - 3) / 2) on [-1, 1]."""
     x = np.linspace(-1, 1, grid)
     weight = np.exp((dimension - 3) / 2 * np.log(np.maximum(1 - x * x, 1e-300)))
-    mass, moment = np.cumsum(weight), np.cumsum(weight * x)
-    levels = x[np.searchsorted(mass / mass[-1], (np.arange(2**bits) + 0.5) / 2**bits)]
+    mass, moment = (np.concatenate([[0.0], np.cumsum(w)]) for w in (weight, weight * x))
+    levels = x[np.searchsorted(mass[1:] / mass[-1], (np.arange(2**bits) + 0.5) / 2**bits)]
     for _ in range(rounds):
-        edges = np.concatenate([[0], np.searchsorted(x, (levels[1:] + levels[:-1]) / 2), [grid - 1]])
+        edges = np.concatenate([[0], np.searchsorted(x, (levels[1:] + levels[:-1]) / 2), [grid]])
         m = mass[edges[1:]] - mass[edges[:-1]]
         after = np.where(m > 0, (moment[edges[1:]] - moment[edges[:-1]]) / np.where(m > 0, m, 1), levels)
         if np.abs(after - levels).max() < 1e-12:
