@@ -9,12 +9,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.llm import bloom
 from dialoom.llm.components import connected_components
-from dialoom.llm.storage import drop_stored, stored
+from dialoom.llm.storage import arrow_batches, drop_stored, stored
 
 
 class Settings(NamedTuple):
@@ -28,7 +28,8 @@ class Settings(NamedTuple):
 KEY_MASK = np.uint64((1 << 60) - 1)
 BLOCK_WORDS = 400_000
 BLOOM_BITS = 1 << 24
-STAR_ROUNDS = 6  # star rounds at most before all remaining pairs are checked
+PAIRS_AT_ONCE = 128
+SMALL = 16  # texts of a bucket up to which pairs are compared without further proof
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,23 +202,41 @@ def _bags_of(settings: Settings, wanted):
     return run
 
 
-def _linked(least: float):
+def levels(bag: np.ndarray) -> np.ndarray:
+    """A sorted multiset as a set: its n-th copy of an element becomes (element, n)."""
+    starts = np.concatenate([[True], bag[1:] != bag[:-1]])
+    first = np.maximum.accumulate(np.where(starts, np.arange(len(bag)), 0))
+    return np.unique(mix(bag ^ mix((np.arange(len(bag)) - first).astype(np.uint64) + np.uint64(1))))
+
+
+def _compared(least: float):
+    """Exact similarity of each pair, and for ``wide`` ones what sets the first text apart from the second."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [
-                similarity(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) >= least
-                for a, b in zip(batch.column("_a"), batch.column("_b"), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+            linked, missing, extra, size, tokens = [], [], [], [], []
+            for x, y, wide in zip(batch.column("_a"), batch.column("_b"), batch.column("wide").to_pylist(), strict=True):
+                own, hub = levels(np.frombuffer(x.as_py(), np.uint64)), levels(np.frombuffer(y.as_py(), np.uint64))
+                common = len(np.intersect1d(own, hub, assume_unique=True))
+                linked.append(bool(common >= least * (len(own) + len(hub) - common) - 1e-9))
+                missing.append(len(hub) - common)
+                extra.append(len(own) - common)
+                size.append(len(hub))
+                tokens.append(np.setxor1d(own, hub, assume_unique=True).view(np.int64) if wide else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(missing, pa.int32()), pa.array(extra, pa.int32()), pa.array(size, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
+                ["a", "b", "linked", "missing", "extra", "size", "tokens"],
+            )
 
     return run
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, least: float, name: str) -> DataFrame:
-    """a, b, linked of distinct pairs of text ids."""
+    """a, b, linked, missing, extra, size, tokens of distinct pairs of text ids (a, b, wide)."""
     with_a = pairs.join(bags.select(F.col("_rep").alias("a"), F.col("_bag").alias("_a")), "a")
-    both = with_a.join(bags.select(F.col("_rep").alias("b"), F.col("_bag").alias("_b")), "b").select("a", "b", "_a", "_b")
-    return stored(both.mapInArrow(_linked(least), "a long, b long, linked boolean"), name)
+    both = with_a.join(bags.select(F.col("_rep").alias("b"), F.col("_bag").alias("_b")), "b").select("a", "b", "wide", "_a", "_b")
+    with arrow_batches(pairs.sparkSession, PAIRS_AT_ONCE):  # a row holds two whole bags
+        return stored(both.mapInArrow(_compared(least), "a long, b long, linked boolean, missing int, extra int, size int, tokens array<long>"), name)
 
 
 def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings(), bloom_bits: int = BLOOM_BITS) -> DataFrame:
@@ -229,10 +248,14 @@ def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings()
     empty) is linked to no other text. class_id is the smallest doc_id of the class (null if it
     has none) and one row of each class is kept: the smallest doc_id, null last, then any.
 
-    Texts of a bucket are not compared all with all. In each round every text is compared with
-    one leader of each bucket that still holds several classes, and linked ones join classes; when
-    the pairs of different classes that are left in buckets are few, or after STAR_ROUNDS rounds,
-    all of them are compared, so no link between classes is missed.
+    Texts of a bucket are not compared all with all. Each is compared with the bucket's hub, the
+    text that shares most buckets, and two texts linked to the hub need no more. In buckets of at
+    most SMALL texts the other pairs are compared. In larger ones an unlinked text x and any y
+    can be linked only if they share enough of what sets both apart from the hub: with m tokens
+    of the hub missing, e extra ones and c shared ones of these, their similarity is
+    (hub - mx - my + c) / (hub + ex + ey - c), and as x is not linked to the hub, c must reach
+    (my + s ey) / (1 + s). So one shared token lies among the my + ey - c + 1 rarest of y, and
+    only such pairs are compared: no link between texts of a bucket is missed.
     """
     rows = documents.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("_hash"), "text")
     signed = stored(rows.mapInArrow(_sign(settings), "_row long, doc_id long, _hash long, _t0 long, _t1 long, _bands array<long>"), "signed")
@@ -262,40 +285,53 @@ def _classes(documents: DataFrame, texts: DataFrame, members: DataFrame, setting
     wanted = spark.sparkContext.broadcast(bloom.build(busy, F.col("_t0"), F.col("_t1"), bloom_bits))
     raw = documents.select("text").mapInArrow(_bags_of(settings, wanted), "_t0 long, _t1 long, _bag binary")
     bags = stored(raw.join(busy, ["_t0", "_t1"]).groupBy("_rep").agg(F.first("_bag").alias("_bag")), "bags")
-    current = members.withColumn("_class", F.col("_rep"))
-    tested, links = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        spread = current.groupBy("_key").agg(
-            F.min("_class").alias("_low"), F.max("_class").alias("_high"), F.count("*").alias("_n"),
-            F.min(F.struct((F.xxhash64("_class", F.lit(turn)) if turn else F.col("_rep")).alias("x"), F.xxhash64("_rep", F.lit(turn)).alias("y"), "_rep", "_class")).alias("_lead"),
-        ).filter("_low < _high")
-        spread = stored(spread.select("_key", "_n", F.col("_lead._rep").alias("_leader"), F.col("_lead._class").alias("_lead_class")), "spread")
-        open_members = current.join(spread, "_key")
-        all_pairs, n_open = spread.agg(F.coalesce(F.sum(F.col("_n") * (F.col("_n") - 1) / 2), F.lit(0.0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
-        if not n_open:
-            break
-        last = turn == STAR_ROUNDS or all_pairs <= 4 * n_open
-        if last:
-            mine = open_members.select("_key", F.col("_rep").alias("a"), F.col("_class").alias("_ca"))
-            other = open_members.select("_key", F.col("_rep").alias("b"), F.col("_class").alias("_cb"))
-            pairs = mine.join(other, "_key").filter("a < b AND _ca != _cb").select("a", "b")
-        else:
-            pairs = open_members.filter("_class != _lead_class").select(F.least("_rep", "_leader").alias("a"), F.greatest("_rep", "_leader").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        checked = _verified(pairs, bags, settings.similarity, "checked")
-        linked = checked.filter("linked").select("a", "b")
-        tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
-        links = linked if links is None else links.union(linked)
-        components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        components = stored(components.select(F.col("node").alias("_rep"), F.col("component").alias("_class")), "components")
-        if last:
-            return components
-        after = members.join(components, "_rep", "left").select("_key", "_rep", F.coalesce("_class", "_rep").alias("_class"))
-        current = stored(after, "current")
+
+    sizes = stored(members.groupBy("_key").agg(F.count("*").alias("_n")), "sizes")
+    ranks = stored(members.join(sizes, "_key").groupBy("_rep").agg(F.sum("_n").alias("_score")), "ranks")
+    hubs = members.join(ranks, "_rep").groupBy("_key").agg(F.count("*").alias("_n"), F.max(F.struct("_score", (-F.col("_rep")).alias("_least"))).alias("_best"))
+    hubs = stored(hubs.select("_key", "_n", (-F.col("_best._least")).alias("_hub")), "hubs")
+    stars = stored(members.join(hubs, "_key"), "stars")
+    spokes = stars.filter("_rep != _hub").groupBy(F.col("_rep").alias("a"), F.col("_hub").alias("b")).agg((F.max("_n") > SMALL).alias("wide"))
+    checked = _verified(spokes, bags, settings.similarity, "spokes")
+
+    others = _small_bucket_pairs(stars, checked).union(_wide_bucket_pairs(checked, settings.similarity)).distinct()
+    tested = stored(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tested")
+    rest = others.join(tested, ["a", "b"], "left_anti").withColumn("wide", F.lit(False))
+    more = _verified(rest, bags, settings.similarity, "others")
+    links = checked.filter("linked").select("a", "b").union(more.filter("linked").select("a", "b"))
+    components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     drop_stored(bags)
-    return components if links is not None else spark.createDataFrame([], "_rep long, _class long")
+    return components.select(F.col("node").alias("_rep"), F.col("component").alias("_class"))
+
+
+def _small_bucket_pairs(stars: DataFrame, checked: DataFrame) -> DataFrame:
+    """Pairs (a < b) of buckets of at most SMALL texts that are not both linked to the hub."""
+    small = stars.filter((F.col("_n") <= SMALL) & (F.col("_n") > 2) & (F.col("_rep") != F.col("_hub")))
+    near = checked.filter("linked").select(F.col("a").alias("_rep"), F.col("b").alias("_hub"), F.lit(True).alias("_near"))
+    marked = stored(small.join(near, ["_rep", "_hub"], "left").select("_key", "_rep", F.coalesce("_near", F.lit(False)).alias("_near")), "small")
+    x = marked.filter("NOT _near").select("_key", F.col("_rep").alias("x"))
+    y = marked.select("_key", F.col("_rep").alias("y"))
+    return x.join(y, "_key").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _wide_bucket_pairs(checked: DataFrame, least: float) -> DataFrame:
+    """Pairs (a < b) of one hub that share a rare enough difference from it to be linked."""
+    apart = checked.filter(F.col("tokens").isNotNull()).select(F.col("b").alias("hub"), F.col("a").alias("y"), "linked", "missing", "extra", "size", F.explode("tokens").alias("token"))
+    apart = stored(apart, "apart")
+    counts = stored(apart.groupBy("hub", "token").agg(F.count("*").alias("n")).filter("n > 1"), "rare")  # a token of one text pairs with none
+    common = apart.join(counts, ["hub", "token"])
+    weight = F.col("missing") + least * F.col("extra")
+    need = F.greatest(F.ceil(weight / (1 + least) - 1e-9), F.lit(1))
+    alone = F.col("missing") + F.col("extra") - F.col("shared")  # the rarest tokens: those of no other text
+    first = F.col("missing") + F.col("extra") - need + 1 - alone
+    nth = F.row_number().over(Window.partitionBy("hub", "y").orderBy("n", "token"))
+    ranked = common.withColumns({"shared": F.count("*").over(Window.partitionBy("hub", "y")), "nth": nth})
+    ranked = stored(ranked.withColumn("leading", F.col("nth") <= first).drop("shared", "nth", "n"), "ranked")
+    y = ranked.filter("leading").select("hub", "token", "y", F.col("missing").alias("my"), F.col("extra").alias("ey"))
+    x = ranked.filter("NOT linked").select("hub", "token", F.col("y").alias("x"), F.col("missing").alias("mx"), F.col("extra").alias("ex"), "size")
+    most = F.least("mx", "my") + F.least("ex", "ey")
+    enough = (1 + least) * most >= F.col("mx") + F.col("my") + least * (F.col("ex") + F.col("ey")) - (1 - least) * F.col("size") - 1e-9
+    return x.join(y, ["hub", "token"]).filter((F.col("x") != F.col("y")) & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def drop_near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
