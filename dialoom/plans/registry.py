@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.plans import curation, dialogue, files, repairs, rewards, scoring, structures, tables
+from dialoom.plans import curation, dialogue, files, gates, repairs, rewards, scoring, structures, tables
 
-MODULES = (curation, dialogue, files, repairs, rewards, scoring, structures, tables)
+MODULES = (curation, dialogue, files, gates, repairs, rewards, scoring, structures, tables)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
