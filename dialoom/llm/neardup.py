@@ -254,8 +254,9 @@ def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings()
     can be linked only if they share enough of what sets both apart from the hub: with m tokens
     of the hub missing, e extra ones and c shared ones of these, their similarity is
     (hub - mx - my + c) / (hub + ex + ey - c), and as x is not linked to the hub, c must reach
-    (my + s ey) / (1 + s). So one shared token lies among the my + ey - c + 1 rarest of y, and
-    only such pairs are compared: no link between texts of a bucket is missed.
+    (my + s ey) / (1 + s). So their first shared token, rarest first, lies early in both and
+    enough tokens follow it; only such pairs are compared, and no link between texts of a bucket
+    is missed.
     """
     rows = documents.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("_hash"), "text")
     signed = stored(rows.mapInArrow(_sign(settings), "_row long, doc_id long, _hash long, _t0 long, _t1 long, _bands array<long>"), "signed")
@@ -320,17 +321,24 @@ def _wide_bucket_pairs(checked: DataFrame, least: float) -> DataFrame:
     apart = stored(apart, "apart")
     counts = stored(apart.groupBy("hub", "token").agg(F.count("*").alias("n")).filter("n > 1"), "rare")  # a token of one text pairs with none
     common = apart.join(counts, ["hub", "token"])
+    total = F.col("missing") + F.col("extra")
     weight = F.col("missing") + least * F.col("extra")
-    need = F.greatest(F.ceil(weight / (1 + least) - 1e-9), F.lit(1))
-    alone = F.col("missing") + F.col("extra") - F.col("shared")  # the rarest tokens: those of no other text
-    first = F.col("missing") + F.col("extra") - need + 1 - alone
-    nth = F.row_number().over(Window.partitionBy("hub", "y").orderBy("n", "token"))
-    ranked = common.withColumns({"shared": F.count("*").over(Window.partitionBy("hub", "y")), "nth": nth})
-    ranked = stored(ranked.withColumn("leading", F.col("nth") <= first).drop("shared", "nth", "n"), "ranked")
-    y = ranked.filter("leading").select("hub", "token", "y", F.col("missing").alias("my"), F.col("extra").alias("ey"))
-    x = ranked.filter("NOT linked").select("hub", "token", F.col("y").alias("x"), F.col("missing").alias("mx"), F.col("extra").alias("ex"), "size")
-    most = F.least("mx", "my") + F.least("ex", "ey")
-    enough = (1 + least) * most >= F.col("mx") + F.col("my") + least * (F.col("ex") + F.col("ey")) - (1 - least) * F.col("size") - 1e-9
+    slack = weight - (1 - least) * F.col("size")  # above 0 for texts that are not linked to the hub
+    need = lambda w: F.greatest(F.ceil(w / (1 + least) - 1e-9), F.lit(1))
+    each = Window.partitionBy("hub", "y")
+    nth = F.row_number().over(each.orderBy("n", "token"))
+    ranked = common.withColumns({"shared": F.count("*").over(each), "nth": nth})
+    place = total - F.col("shared") + F.col("nth")  # tokens of no other text are the rarest
+    ranked = stored(
+        ranked.select("hub", "token", "y", "linked", "missing", "extra", "size", place.alias("place"), (total - place).alias("later"), weight.alias("weight"), slack.alias("slack"), total.alias("total")), "ranked"
+    )
+    y = ranked.filter(F.col("place") <= F.col("total") - need(F.col("weight")) + 1).select("hub", "token", "y", F.col("missing").alias("my"), F.col("extra").alias("ey"), F.col("weight").alias("wy"), F.col("later").alias("ly"))
+    x = ranked.filter(~F.col("linked") & (F.col("place") <= F.col("total") - need(F.col("slack")) + 1)).select(
+        "hub", "token", F.col("y").alias("x"), F.col("missing").alias("mx"), F.col("extra").alias("ex"), F.col("slack").alias("sx"), F.col("later").alias("lx")
+    )
+    # At the first token that a pair shares, no more than one and what follows in either can be shared.
+    most = F.least(F.least("mx", "my") + F.least("ex", "ey"), 1 + F.least("lx", "ly"))
+    enough = (1 + least) * most >= F.col("sx") + F.col("wy") - 1e-9
     return x.join(y, ["hub", "token"]).filter((F.col("x") != F.col("y")) & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 

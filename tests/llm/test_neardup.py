@@ -91,6 +91,18 @@ def test_chains_and_a_large_family(spark):
     assert run(documents(spark, texts).repartition(5)) == brute(texts)
 
 
+def test_a_family_with_many_degrees_of_change(spark):
+    """Most texts are near the hub, many are not but near one another: pairs beyond the hub decide."""
+    rng = np.random.default_rng(6)
+    words = [f"w{rng.integers(5000)}" for _ in range(200)]
+    texts = [" ".join(words)]
+    for share in rng.uniform(0.005, 0.06, 70):
+        far = edited(rng, words, share)
+        texts += [far, edited(rng, far.split(), 0.01)] if share > 0.045 else [far]
+    assert len(set(brute(texts).values())) > 3
+    assert run(documents(spark, texts)) == brute(texts)
+
+
 def test_odd_rows(spark):
     assert run(with_clashes(documents(spark, ODD))) == brute(ODD)
     assert N.op10_neardup(documents(spark, [])).count() == 0
