@@ -18,7 +18,7 @@ MAX_LISTS = 4096
 PARTS = 16  # subspaces of the product quantiser
 CODES = 256  # centroids of each
 RERANKED = 200  # candidates a query keeps for the exact distances
-BLOCK_VECTORS, BLOCK_QUERIES = 8192, 512  # rows of a list that meet in one task
+BLOCK_VECTORS, BLOCK_PROBES = 16_384, 100_000  # vectors, and (query, list) rows, that meet in one task, about
 
 
 class Index(NamedTuple):
@@ -116,34 +116,46 @@ def _probes(index, dimension: int, sizes: np.ndarray, probes: int, least: int):
 
 
 def _scan_block(index, kept: int):
-    """Best ``kept`` vectors of a block for each query, by asymmetric distance, then vec_id."""
+    """Best ``kept`` vectors of a block of lists for each query, by asymmetric distance, then vec_id."""
 
     def run(key, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "near": pd.Series([], dtype="float32")})
-        if queries.empty or vectors.empty:
-            return empty
-        ids = vectors["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        codes = np.frombuffer(b"".join(vectors["codes"]), np.uint8).reshape(-1, PARTS)[order]
-        centre = index.value.centroids[int(key[0])]
-        rest = _split(np.stack(queries["v"].to_numpy()).astype(np.float32) - centre)
-        out = []
-        for query, r in zip(queries["query_id"], rest, strict=True):
-            table = ((r[:, None, :] - index.value.books) ** 2).sum(2)
-            near = table[np.arange(PARTS)[None, :], codes].sum(1)
-            if len(near) > kept:
-                bound = np.partition(near, kept - 1)[kept - 1]
-                pick = np.flatnonzero(near <= bound)
-                pick = pick[np.argsort(near[pick], kind="stable")[:kept]]  # ids are in order
-            else:
-                pick = np.arange(len(near))
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[pick], "near": near[pick]}))
-        return pd.concat(out) if out else empty
+        vectors = vectors.sort_values(["list", "vec_id"], kind="stable")
+        ids, lists = vectors["vec_id"].to_numpy(), vectors["list"].to_numpy()
+        codes = np.frombuffer(b"".join(vectors["codes"]), np.uint8).reshape(-1, PARTS)
+        bounds = {int(x): (int(lo), int(hi)) for x, lo, hi in zip(*_runs(lists), strict=True)}
+        places = np.arange(PARTS)[None, :]
+        out_query, out_vec, out_near = [], [], []
+        for query, part in queries.groupby("query_id", sort=False):
+            v = np.asarray(part["v"].iloc[0], np.float32)
+            near, found = [], []
+            for own in part["list"]:
+                if int(own) in bounds:
+                    lo, hi = bounds[int(own)]
+                    rest = _split((v - index.value.centroids[int(own)])[None, :])[0]
+                    table = ((rest[:, None, :] - index.value.books) ** 2).sum(2)
+                    near.append(table[places, codes[lo:hi]].sum(1))
+                    found.append(ids[lo:hi])
+            if near:
+                near, found = np.concatenate(near), np.concatenate(found)
+                if len(near) > kept:
+                    pick = np.flatnonzero(near <= np.partition(near, kept - 1)[kept - 1])
+                    pick = pick[np.lexsort((found[pick], near[pick]))[:kept]]
+                    near, found = near[pick], found[pick]
+                out_query.append(np.full(len(near), query))
+                out_vec.append(found)
+                out_near.append(near)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.array([], kind)
+        return pd.DataFrame({"query_id": join(out_query, np.int64), "vec_id": join(out_vec, np.int64), "near": join(out_near, np.float32)})
 
     return run
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Value, begin and end of each run of a sorted array."""
+    begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.array([], int)
+    return values[begins], begins, np.append(begins[1:], len(values)) if len(values) else begins
+
+
 def build_index(vectors: DataFrame, dimension: int, seed: int = 5) -> tuple[Index | None, int]:
     """Centroids and codebooks from a sample of about SAMPLE rows chosen by a hash of vec_id, and the row count."""
     n = vectors.count()
@@ -189,12 +201,21 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int = 10, pro
     probes = max(8, int(lists * probe_share))
     asked = stored(queries.mapInArrow(_probes(index, dimension, held, probes, 2 * reranked), "query_id long, list int, v array<float>"), "probes")
     asks = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-    blocks = spark.createDataFrame(
-        [(i, int(-(-held[i] // BLOCK_VECTORS)), -(-asks[i] // BLOCK_QUERIES)) for i in asks if held[i]], "list int, vb int, qb int"
-    )
-    left = asked.join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("vblock"), F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("qblock"), "query_id", "v")
-    right = coded.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("vb")).cast("int").alias("vblock"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("qblock"), "vec_id", "codes")
-    key = ["list", "vblock", "qblock"]
+    plan, at, room, rows_of = [], 0, BLOCK_VECTORS, {}
+    for i in sorted(asks):  # neighbouring small lists share a block, a large one has several
+        if not held[i]:
+            continue
+        if held[i] > room and room < BLOCK_VECTORS:
+            at, room = at + 1, BLOCK_VECTORS
+        parts = int(-(-held[i] // BLOCK_VECTORS))
+        plan.append((i, at, parts))
+        rows_of[at] = rows_of.get(at, 0) + asks[i]
+        at, room = (at + parts, BLOCK_VECTORS) if parts > 1 else (at, room - int(held[i]))
+    qblocks = int(-(-max(rows_of.values(), default=1) // BLOCK_PROBES))
+    blocks = F.broadcast(spark.createDataFrame(plan, "list int, first int, parts int"))  # at most MAX_LISTS rows
+    left = asked.join(blocks, "list").select(F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(qblocks)).cast("int").alias("qblock"), "list", "query_id", "v")
+    right = coded.join(blocks, "list").select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qblock"), "list", "vec_id", "codes")
+    key = ["block", "qblock"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_scan_block(index, reranked), "query_id long, vec_id long, near float")
     best = Window.partitionBy("query_id").orderBy("near", "vec_id")
     candidates = stored(found.filter("query_id != vec_id").withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= reranked).select("query_id", "vec_id"), "candidates")
