@@ -319,8 +319,8 @@ def _wide_bucket_pairs(checked: DataFrame, least: float) -> DataFrame:
     """Pairs (a < b) of one hub that share a rare enough difference from it to be linked."""
     apart = checked.filter(F.col("tokens").isNotNull()).select(F.col("b").alias("hub"), F.col("a").alias("y"), "linked", "missing", "extra", "size", F.explode("tokens").alias("token"))
     apart = stored(apart, "apart")
-    counts = stored(apart.groupBy("hub", "token").agg(F.count("*").alias("n")).filter("n > 1"), "rare")  # a token of one text pairs with none
-    common = apart.join(counts, ["hub", "token"])
+    times = F.count("*").over(Window.partitionBy("hub", "token"))
+    common = apart.withColumn("n", times).filter("n > 1")  # a token of one text pairs with none
     total = F.col("missing") + F.col("extra")
     weight = F.col("missing") + least * F.col("extra")
     slack = weight - (1 - least) * F.col("size")  # above 0 for texts that are not linked to the hub
