@@ -88,10 +88,18 @@ def set_f1(pred: Column, true: Column) -> Column:
 
 
 def bag_f1(pred: Column, true: Column) -> Column:
-    """Token F1 with repeats: common tokens are counted up to the smaller of both counts."""
-    words = F.array_distinct(pred)
-    times = lambda bag, w: F.size(F.filter(bag, lambda x: x == w))
-    common = F.aggregate(F.transform(words, lambda w: F.least(times(pred, w), times(true, w))), F.lit(0), lambda a, x: a + x)
+    """Token F1 with repeats: common tokens are counted up to the smaller of both counts.
+
+    The k-th copy of a token becomes a token of its own, so that sets can be intersected in linear time.
+    """
+    bind = lambda value, body: F.get(F.transform(F.array(value), body), 0)  # noqa: E731  # lambdas do not evaluate ``value`` again
+
+    def copies(bag: Column) -> Column:
+        starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+        runs = lambda s, at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda i, j: F.transform(F.sequence(F.lit(1), F.get(at, j + 1) - i), lambda k: F.concat(k.cast("string"), F.lit(" "), F.get(s, i))))
+        return bind(F.array_sort(bag), lambda s: bind(starts(s), lambda at: F.flatten(runs(s, at))))
+
+    common = F.size(F.array_intersect(copies(pred), copies(true)))
     return F.when((F.size(pred) == 0) | (F.size(true) == 0), 0.0).otherwise(2 * common / (F.size(pred) + F.size(true)))
 
 
