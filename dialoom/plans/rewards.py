@@ -134,6 +134,14 @@ def _(spark, d):
     return table(spark, d, "documents").filter("doc_id % 3 = 0").select("doc_id", texts.category_score(F.lit("other"), pred, F.col("lang")).alias("score"))
 
 
+@P.query("sim05_category_scores")
+def _(spark, d):
+    kinds = ["single_doc_qa", "multi_doc_qa", "few_shot", "synthetic", "summarization", "code", "other"]
+    category = F.get(F.array(*map(F.lit, kinds)), (F.col("doc_id") % len(kinds)).cast("int"))
+    pred = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.col("text"), F.lit("\n"))).otherwise(F.substring("text", 11, 2**31 - 1))
+    return table(spark, d, "documents").select("doc_id", category.alias("category"), texts.category_score(category, pred, F.col("text")).alias("score"))
+
+
 # ---- text repair
 @P.query("str08_corrupted_args", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'b' || (p_size % 9) ELSE 'x' END AS a FROM part")
 def _(spark, d):

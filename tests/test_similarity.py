@@ -66,3 +66,14 @@ def test_scores_of_unlike_texts(spark):
     rows = frame.select("a", "b", texts.rouge_l(a, b).alias("r"), metrics.bag_f1(metrics.tokens(a), metrics.tokens(b)).alias("f")).collect()
     assert len(rows) == len(pairs)
     assert [(r.r, r.f) for r in rows] == [pytest.approx((rouge(r.a, r.b), bag(r.a, r.b))) for r in rows]
+
+
+def test_every_category_over_the_whole_table(spark, sf):
+    kinds = ["single_doc_qa", "multi_doc_qa", "few_shot", "synthetic", "summarization", "code", "other"]
+    want = {}
+    for i, t in enumerate(TEXTS):
+        pred, kind = t[10:] if i % 2 else f" {t}\n", kinds[i % 7]
+        score = {"summarization": rouge, "code": ratio, "other": lambda a, b: float(a.strip() == b.strip())}.get(kind, bag)
+        want[i] = (kind, pytest.approx(100 * score(pred, t)))
+    got = {r.doc_id: (r.category, r.score) for r in registry.queries()["sim05_category_scores"](spark, sf).collect()}
+    assert got == want and {k for k, _ in got.values()} == set(kinds)
