@@ -114,6 +114,13 @@ def _(spark, d):
     return rows.select("doc_id", F.sum(F.when(F.col("p").isNull() | (F.col("p") != F.col("lang")), 1).otherwise(0)).over(w).alias("run"))
 
 
+@P.query("win15_runs_by_source", "SELECT source, doc_id, sum(CASE WHEN p IS NULL OR p <> lang THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS run FROM (SELECT source, doc_id, lang, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents)")
+def _(spark, d):
+    w = Window.partitionBy("source").orderBy("doc_id")
+    rows = _docs(spark, d).withColumn("p", F.lag("lang").over(w))
+    return rows.select("source", "doc_id", F.sum(F.when(F.col("p").isNull() | (F.col("p") != F.col("lang")), 1).otherwise(0)).over(w).alias("run"))
+
+
 @P.query("srt05_reserved_share", "SELECT f FROM (SELECT f, row_number() OVER (ORDER BY md5('7|' || f), f) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT md5(text) AS f FROM documents)) WHERE r <= greatest(1, round_even(n * 0.1, 0))")
 def _(spark, d):
     return sampling.reserve_share(_docs(spark, d).select(F.md5("text").alias("f")), "f", 0.1, 7)

@@ -49,3 +49,15 @@ def test_bootstrap_over_every_delta(spark, sf):
     deltas = {g: [float(round(x * 10 - t * 10)) for *_, s, x, t in rows if s % 3 == g] for g in range(3)}
     assert {g: r["mean"] for g, r in got.items()} == pytest.approx({g: sum(v) / len(v) for g, v in deltas.items()})
     assert all(min(deltas[g]) <= r.low <= r["mean"] <= r.high <= max(deltas[g]) for g, r in got.items())
+
+
+def test_runs_of_every_source(spark, tmp_path):
+    rows = [(i, f"src{i % 3}", "aab"[i // 3 % 3]) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.source, r.run) for r in registry.queries()["win15_runs_by_source"](spark, str(tmp_path)).collect()}
+    last, run, want = {}, dict.fromkeys(["src0", "src1", "src2"], 0), {}
+    for i, source, lang in rows:
+        run[source] += last.get(source) != lang
+        last[source] = lang
+        want[i] = (source, run[source])
+    assert got == want
