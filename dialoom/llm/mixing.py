@@ -52,20 +52,28 @@ def weighted_sources(documents: DataFrame, weights: Sequence[int], partitions: i
     return ranked.select("source", "size", turn.alias("weight"))
 
 
-def draw_repeats(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """Add source_size, target and ``copies`` to rows (doc_id, source, size, ...).
+def size_class():
+    """Power of two of ``size``; -1 of nothing."""
+    return F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(-1).cast("int")
+
+
+def hash_part(seed: int):
+    """One of PARTS parts, by MD5 of seed and ``_key``."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_key"))), 1, 6), 16, 10).cast("int"), F.lit(PARTS))
+
+
+def draw_repeats(sized: DataFrame, sums: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """Add source_size, target and ``copies`` to rows (_key, source, size, ...).
 
     A source with target t and size s gives each row floor(t/s) whole copies; the rest of t/s is
     a seeded sample. Rows are dealt by size class (power of two) and md5 of seed and doc_id into
     parts; the parts of a source are walked from large to small rows and a part is taken if that
     brings the taken words nearer to their share so far, so the sum misses its target by less
     than the last small parts hold. A walk sees at most 64 classes x PARTS sums, whatever the
-    number of rows. Rows that repeat a doc_id are drawn together.
+    number of rows. Rows that repeat a doc_id are drawn together, rows without one by their
+    ``_key``. Rows without words get the whole copies alone.
     """
-    klass = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")))).otherwise(-1).cast("int")
-    part = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 6), 16, 10).cast("int"), F.lit(PARTS))
-    sized = sized.withColumn("_class", klass).withColumn("_part", part)
-    sums = sized.groupBy("source", "_class", "_part").agg(F.sum("size").alias("s"))
+    sized = sized.withColumn("_class", size_class()).withColumn("_part", hash_part(seed))
     walks = sums.groupBy("source").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("_class")).alias("k"), F.col("_part").alias("p"), "s"))).alias("walk")
     )
@@ -78,7 +86,7 @@ def draw_repeats(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
 
     def step(state, x):
         seen = state["seen"] + x["s"]
-        pick = F.col("rest") * seen - state["taken"] >= x["s"] / F.lit(2.0)
+        pick = (x["s"] > 0) & (F.col("rest") * seen - state["taken"] >= x["s"] / F.lit(2.0))
         return F.struct((state["taken"] + F.when(pick, x["s"]).otherwise(0)).alias("taken"), seen.alias("seen"), F.concat(state["picks"], F.array(pick)).alias("picks"))
 
     picks = F.aggregate("walk", start, step, lambda state: state["picks"])
@@ -94,12 +102,18 @@ def draw_repeats(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
 def mix_documents(documents: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 3) -> DataFrame:
     """Every row with size, source_size, target and ``copies`` (0 and up): how often the mix takes it.
 
-    Sources without words have target 0. Column names that clash are taken from ``documents``
-    only for doc_id, source and text; the caller joins or selects the rest.
+    No row is taken more than ``epochs`` times, rounded up. Sources without words have target 0 and their
+    rows 0 copies; a null source is one of its own. Rows that repeat a doc_id are drawn
+    together, rows without one by their text. Columns that bear the added names are replaced,
+    all others pass.
     """
-    sized = documents.withColumn("size", word_count())
-    targets = water_fill(weighted_sources(sized.select("source", "size"), weights), share, epochs)
-    return draw_repeats(sized, targets, seed)
+    kept = [c for c in documents.columns if c not in ("size", "source_size", "target", "copies")]
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("null"))
+    sized = documents.select(*kept, word_count().alias("size"), key.alias("_key"))
+    classes = sized.select("source", "size", size_class().alias("_class"), hash_part(seed).alias("_part"))
+    sums = stored(classes.groupBy("source", "_class", "_part").agg(F.sum("size").alias("s")), "sums")
+    targets = water_fill(weighted_sources(sums.select("source", F.col("s").alias("size")), weights), share, epochs)
+    return draw_repeats(sized, sums, targets, seed).drop("_key")
 
 
 def op3_mixing(documents: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from dialoom.llm import mixing
 from tests.llm.helpers import ODD, SCHEMA, documents, with_clashes
@@ -45,6 +46,15 @@ def test_targets_and_draws(spark):
     assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values()))
 
 
+def test_wordless_rows_stay_within_the_epochs(spark):
+    texts = ["a b c", "d e", "", None, " ", *["x y z " * 50] * 4]
+    sources = ["s0"] * 5 + ["s1"] * 4
+    rows = [(i, t, "en", s, 0) for i, (t, s) in enumerate(zip(texts, sources, strict=True))]
+    got = {r.doc_id: r for r in mixing.mix_documents(spark.createDataFrame(rows, SCHEMA).withColumn("copies", F.lit("x"))).collect()}
+    assert got[0].target == 2 * got[0].source_size and got[0].copies == 2
+    assert all(0 <= r.copies <= 2 for r in got.values())
+
+
 def test_reruns_and_partitions_agree(spark):
     _, docs = make(spark)
     a = {tuple(r) for r in mixing.op3_mixing(docs).collect()}
