@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -39,7 +41,51 @@ def test_blocks_follow_links_and_allow_stands(spark):
 def test_relative_targets(spark):
     rows = [(1, "http://h.org/a/b", '<link rel="canonical" href="c">'), (2, "http://h.org/a/b2", "<link rel='canonical' href='//i.org/z'>"), (3, "http://h.org", '<link rel="canonical" href="c">')]
     edges = {tuple(r) for r in urlfilter.link_edges(spark.createDataFrame(rows, PAGES)).collect()}
-    assert edges == {("h.org/a/b", "h.org/a/c"), ("h.org/a/b2", "i.org/z"), ("h.org", "h.org/c")}
+    assert edges == {("h.org/a/b", "h.org/a/c"), ("h.org/a/b2", "i.org/z"), ("h.org/", "h.org/c")}
+
+
+def test_targets_of_odd_links(spark):
+    canonical = '<link rel="canonical" href="{}">'.format
+    cases = [
+        ("http://a.org", canonical("http://a.org/"), None), ("http://a.org/p", canonical("http://c.org/q?a=1&amp;b=2"), "c.org/q?a=1&b=2"),
+        ("http://h.org/a/b/c", canonical("../d"), "h.org/a/d"), ("http://h.org/a/b", canonical("?x=2"), "h.org/a/b?x=2"), ("http://h.org/a/b", canonical("./../../e/."), "h.org/e/"),
+        ("http://h.org/a", "<!-- " + canonical("http://net/es/1") + " -->", None), ("http://h.org/a", "<script>'" + canonical("/z") + "'</script>", None),
+        ("https://h.org/a", canonical("https://h.org:443/z"), "h.org/z"), ("http://h.org/a", canonical("https://h.org:80/z"), "h.org:80/z"), ("http://h.org/a", canonical("&#x2F;&#122;"), "h.org/z"),
+        ("http://h.org/a", canonical("#top"), None), ("http://h.org/a", canonical("javascript:void(0)"), None), ("http://h.org/a", canonical(""), None),
+        ("http://h.org/a", "<link data-rel='canonical' href=/z>", None), ("http://h.org/a", "<LINK HREF=/z REL='alternate Canonical'", None), ("http://h.org/a", "<LINK HREF=/z REL='alternate Canonical'>", "h.org/z"),
+        ("http://h.org/a", '<meta content="5;URL=\'z\'" http-equiv=Refresh>', "h.org/z"), ("http://h.org/a", '<meta http-equiv="refresh" content="5">', None), ("http://h.org/a", None, None),
+    ]
+    rows = [(i, url, html) for i, (url, html, _) in enumerate(cases)]
+    for (i, url, html), (_, _, want) in zip(rows, cases, strict=True):
+        got = [r.dst for r in urlfilter.link_edges(spark.createDataFrame([(i, url, html)], PAGES)).collect() if r.dst is not None and r.dst != r.src]
+        assert got == ([want] if want else []), (url, html)
+
+
+def test_judgements_against_a_walk_over_links(spark):
+    rng = random.Random(5)
+    hosts = ["a.org", "b.org", "c.net", "d.com", "e.example.com"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'x'])}/{i}" for i in range(60)]
+    links = [(u, rng.choice(urls)) for u in urls if rng.random() < 0.6]
+    rows = [(i, u, "".join(f'<link rel="canonical" href="{v}">' for s, v in links if s == u)) for i, u in enumerate(urls)]
+
+    def rule(url):
+        host, _, path = url.removeprefix("http://").partition("/")
+        fits = [r for r in urlfilter.RULES if (host == r.host or host.endswith("." + r.host)) and ("/" + path).startswith(r.path)]
+        return max(fits, key=lambda r: len(r.host + r.path), default=None)
+
+    near = {u: {u} for u in urls}
+    for a, b in links:
+        near[a].add(b), near[b].add(a)
+    want = {}
+    for i, u in enumerate(urls):
+        seen, todo = {u}, [u]
+        while todo:
+            for v in near[todo.pop()] - seen:
+                seen.add(v), todo.append(v)
+        own = rule(u)
+        want[i] = own.verdict if own else "block" if any((r := rule(v)) and r.verdict == "block" for v in seen) else "allow"
+    assert {k: v[3] for k, v in judge(spark, rows).items()} == want
+    assert {"block", "allow"} == set(want.values())
 
 
 def test_nothing(spark):
