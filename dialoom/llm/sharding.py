@@ -10,30 +10,45 @@ from pyspark.sql import functions as F
 from dialoom.llm.ranking import ranked_in_group
 
 
+def _score(key: Column, shard: int, weight: float, seed: int) -> Column:
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard), F.lit(seed)), 11)
+    u = (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**53))
+    return F.struct((-F.lit(float(weight)) / F.ln(u)).alias("s"), F.lit(-shard).alias("i"))
+
+
 def rendezvous(key: Column, weights: Sequence[float], seed: int = 17) -> Column:
     """The shard (place in ``weights``) with the highest -w / ln(u), u a uniform draw of (key, shard).
 
     Draws depend on key and shard alone, so a new shard only takes rows to itself and a removed
     one only gives rows away; a shard's share follows its weight. Null keys share one shard.
     """
+    return (-_best(key, weights, seed)["i"]).cast("int")
+
+
+def _best(key: Column, weights: Sequence[float], seed: int) -> Column:
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
+    return F.array_max(F.array(*[_score(key, i, w, seed) for i, w in enumerate(weights)]))
+
 
-    def score(shard: int, weight: float) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard), F.lit(seed)), 11)
-        u = (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**53))
-        return F.struct((-F.lit(float(weight)) / F.ln(u)).alias("s"), F.lit(-shard).alias("i"))
+def grown(rows: DataFrame, key: str, weights: Sequence[float], added: float, shard: str = "shard", grown_shard: str = "grown_shard", seed: int = 17) -> DataFrame:
+    """Add the shard of each row, and its shard once one more of weight ``added`` exists: the same or the new one.
 
-    best = F.array_max(F.array(*[score(i, w) for i, w in enumerate(weights)]))
-    return (-best["i"]).cast("int")
+    Columns that already bear these names are replaced.
+    """
+    kept = [c for c in rows.columns if c not in (shard, grown_shard)]
+    scored = rows.select(*kept, _best(F.col(key), weights, seed).alias("_best"))
+    after = F.greatest(F.col("_best"), _score(F.col(key), len(weights), added, seed))
+    return scored.select(*kept, (-F.col("_best.i")).cast("int").alias(shard), (-after["i"]).cast("int").alias(grown_shard))
 
 
 def shard_records(rows: DataFrame, key: str, weights: Sequence[float], salts: int = 1024, shard: str = "shard", slot: str = "slot") -> DataFrame:
     """Add the shard of each record and its place in that shard, gapless from 0.
 
-    Slots are dealt in arbitrary order. Column names of ``rows`` must not be ``shard``/``slot``.
+    Slots are dealt in arbitrary order; rows with a null key share a shard, and equal rows take a
+    slot each. Columns that already bear the names ``shard`` and ``slot`` are replaced.
     """
-    return ranked_in_group(rows.withColumn(shard, rendezvous(F.col(key), weights)), [shard], [key], salts, slot)
+    return ranked_in_group(rows.withColumn(shard, rendezvous(F.col(key), weights)).drop(slot), [shard], [key], salts, slot)
 
 
 def op8_sharding(documents: DataFrame, shards: int = 40) -> DataFrame:
@@ -48,6 +63,5 @@ def op8_sharding(documents: DataFrame, shards: int = 40) -> DataFrame:
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        rendezvous(F.col("doc_id"), [1.0] * (shards + 1)).alias("grown_shard"),
     )
-    return shard_records(rows, "doc_id", [1.0] * shards)
+    return ranked_in_group(grown(rows, "doc_id", [1.0] * shards, 1.0), ["shard"], ["doc_id"], 1024, "slot")
