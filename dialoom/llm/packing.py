@@ -8,24 +8,30 @@ among the items of their length.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
+from itertools import chain, compress
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm.ranking import ranked_in_group
-from dialoom.llm.storage import stored
+from dialoom.llm.storage import arrow_batches, stored
 
 CAPACITY = 1024
 END_ID = 2
-CACHED = 600_000  # chunks of text whose ids a worker remembers
-BLOCK = 1 << 22  # characters a worker handles at a time
+CACHED = 600_000  # pieces of texts whose ids a worker remembers
+ENCODED_AT_ONCE = 8192  # new ones that the tokenizer gets at a time
+BLOCK = 1 << 22  # bytes of texts a worker handles at a time
 
 
 class Run(NamedTuple):
@@ -132,13 +138,60 @@ def pack(items: DataFrame, length: str, order: list[str], capacity: int = CAPACI
     return ranked.join(F.broadcast(plan), fits).select(*items.columns, (F.col("_rank") + F.col("_shift")).alias("sequence_id"), "offset")
 
 
-class ChunkEncoder:
-    """Token ids of texts by way of remembered chunks.
+# The tokenizer's pattern, over characters whose class is the same in every Unicode version.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+_PLAIN = re.compile(rf"[{_LETTERS}0-9 \t\n\r!-/:-@\[-`{{-~]*")
+_PRE_TOKEN = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_SINGLE = re.compile(rf" ?(?:[{_LETTERS}]+|[0-9]+)|[,.;:!?\n]")  # surely one pre-token
+_LETTER_OR_DIGIT = re.compile(rf"[{_LETTERS}0-9]")
+STOPS = ",.;:!?"  # texts are cut before these, before spaces, and on both sides of newlines
+NEWLINE, SPACED, STOP, OTHER, WORD, EMPTY, BAD = range(7)  # how a piece begins or ends
+
+
+def _edges(piece: str, single: bool) -> tuple[int, int]:
+    """How a piece begins (NEWLINE, SPACED, STOP, OTHER) and ends (NEWLINE, WORD, OTHER); BAD if cuts beside it are not safe."""
+    if piece == "\n":
+        return NEWLINE, NEWLINE
+    if not piece:
+        return EMPTY, EMPTY
+    if piece in STOPS:
+        return STOP, OTHER
+    if single:
+        return SPACED if piece[0] == " " else OTHER, WORD
+    body = piece[1:] if piece[0] == " " else piece
+    if not body or any(c.isspace() or c == "\u180e" for c in (body[0], body[-1])):
+        return BAD, BAD
+    head = SPACED if piece[0] == " " else STOP if piece[0] in STOPS else OTHER
+    return head, WORD if _LETTER_OR_DIGIT.match(body[-1]) else OTHER
+
+
+SAFE = np.zeros((7, 7), bool)  # a cut between a piece that ends so and one that begins so changes no token
+for _end, _begins in ((NEWLINE, (SPACED, STOP, OTHER)), (WORD, (NEWLINE, SPACED, STOP)), (OTHER, (NEWLINE, SPACED))):
+    SAFE[_end, _begins] = True
+
+
+class _Places(dict):
+    """Numbers keys as they come and lists the new ones."""
+
+    def __init__(self, *known) -> None:
+        super().__init__(*known)
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = place = len(self)
+        self.new.append(key)
+        return place
 
-    A byte-level BPE whose pattern takes at most one leading space never joins what stands on
-    both sides of a space that has text on either side, so a text is cut before its spaces and
-    each distinct chunk is encoded once. A text with a space between white space is encoded as
-    a whole.
+
+class ChunkEncoder:
+    """Token ids of texts by way of remembered pieces.
+
+    Texts are cut before spaces and sentence marks and around newlines, each distinct piece of a
+    block is looked up once, and new ones are encoded. A byte-level BPE whose pattern takes at most one
+    leading space never joins what stands on both sides of most such cuts; which ones those are
+    follows from the pieces' ends (``SAFE``). A text with any other cut is cut by the pattern
+    itself if all its characters are plain, and else encoded as a whole. When there are too many
+    pieces, those used least go. A tokenizer that is not of this kind is refused.
     """
 
     def __init__(self, path: str) -> None:
@@ -148,73 +201,121 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.clear()
-
-    def clear(self) -> None:
+        self.added = self.added_tokens(json.loads(self.tokenizer.to_str()))
+        self.model = self.tokenizer.model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level models write as they are, the rest from 256 on
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.places = _Places()
-        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.ids = np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        self.heads, self.tails = np.zeros(0, np.int8), np.zeros(0, np.int8)
+
+    @staticmethod
+    def added_tokens(config: dict) -> list[str]:
+        """Added tokens of a tokenizer whose texts may be cut as this class does."""
+        cutter, model, added = config["pre_tokenizer"] or {}, config["model"], config["added_tokens"]
+        fits = (
+            cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space") and not config["normalizer"]
+            and model["type"] == "BPE" and not model["dropout"] and not model["end_of_word_suffix"] and not model["continuing_subword_prefix"]
+            and not any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] or set(x["content"]) & {*STOPS, *" \n"} for x in added)
+        )
+        if not fits:
+            raise ValueError("texts of this tokenizer cannot be cut before spaces and marks")
+        return [x["content"] for x in added]
+
+    @staticmethod
+    def joined(runs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        return np.fromiter(chain.from_iterable(runs), np.uint32, int(sizes.sum())), sizes
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, joined, and their number in each text."""
+        return self.joined([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def encode_singles(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of strings that are one pre-token each, so that the model takes them as they are."""
+        shown = [(x.encode().decode("latin-1")).translate(self.letters) for x in pieces]
+        return self.joined([[t.id for t in self.model.tokenize(x)] for x in shown])
 
     def learn(self) -> None:
         new, self.places.new = self.places.new, []
-        if not new:
-            return
-        done = len(self.places) - len(new)
-        while len(self.places) > len(self.starts):
-            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        safe = [c for c in new if c and not c[0].isspace()]
-        got = iter(self.encode([c[1:] if c[0] == "\0" else " " + c for c in safe]))
-        for place, chunk in enumerate(new, done):
-            if not chunk or chunk[0].isspace():
-                self.sizes[place] = -1
-                continue
-            ids = next(got)
-            while self.n_ids + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-            self.starts[place], self.sizes[place] = self.n_ids, len(ids)
-            self.n_ids += len(ids)
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        for at in range(0, len(new), ENCODED_AT_ONCE):
+            part = new[at : at + ENCODED_AT_ONCE]
+            single = np.fromiter((_SINGLE.fullmatch(x) is not None for x in part), bool, len(part))
+            sizes = np.zeros(len(part), np.int64)
+            ids, sizes[single] = self.encode_singles(list(compress(part, single)))
+            other_ids, sizes[~single] = self.encode(list(compress(part, ~single)))
+            both = np.empty(len(ids) + len(other_ids), np.uint32)
+            mine = np.repeat(single, sizes)
+            both[mine], both[~mine] = ids, other_ids
+            edges = np.array(list(map(_edges, part, single.tolist())), np.int8)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.ids, self.sizes = np.concatenate([self.ids, both]), np.concatenate([self.sizes, sizes])
+            self.heads, self.tails = np.concatenate([self.heads, edges[:, 0]]), np.concatenate([self.tails, edges[:, 1]])
+            self.uses = np.concatenate([self.uses, np.zeros(len(part), np.int64)])
+
+    def forget(self) -> None:
+        """Keep at most half of the pieces, the most used ones, and age their use."""
+        most = np.argsort(-self.uses, kind="stable")[: CACHED // 2]
+        keep = np.zeros(len(self.places), bool)
+        keep[most[self.uses[most] > 1]] = True
+        kept, names = np.flatnonzero(keep), list(self.places)
+        self.places = _Places({names[i]: k for k, i in enumerate(kept)})
+        self.ids = self.gather(kept)
+        self.sizes, self.uses, self.heads, self.tails = self.sizes[kept], self.uses[kept] // 2, self.heads[kept], self.tails[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def find(self, pieces: list[str], times: np.ndarray) -> np.ndarray:
+        """Places of distinct pieces, which come up so many times."""
         if len(self.places) > CACHED:
-            self.clear()
-        chunks, ends = [], []
-        for text in texts:
-            if text:
-                own = [""] if "\0" in text else text.split(" ")  # NUL marks the first chunk
-                own[0] = own[0] and "\0" + own[0]
-                chunks += own
-            ends.append(len(chunks))
-        places = np.fromiter(map(self.places.__getitem__, chunks), np.int64, len(chunks))
+            self.forget()
+        places = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
         self.learn()
-        sizes, out, begin = self.sizes[places], [], 0
-        odd = sizes < 0
-        safe_sizes = np.where(odd, 0, sizes)
-        after = np.concatenate([[0], np.cumsum(safe_sizes)])
-        flat = self.ids[np.repeat(self.starts[places] - after[:-1], safe_sizes) + np.arange(after[-1])]
-        odd_before = np.concatenate([[0], np.cumsum(odd)])
-        for text, end in zip(texts, ends, strict=True):
-            out.append(self.encode([text])[0] if odd_before[end] > odd_before[begin] else flat[after[begin] : after[end]])
-            begin = end
+        self.uses[places] += times
+        return places
+
+    def gather(self, places: np.ndarray) -> np.ndarray:
+        """Ids of the pieces at these places, joined."""
+        sizes = self.sizes[places]
+        after = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[places] - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)]
+
+    def uncut(self, text: str) -> np.ndarray:
+        """Ids of a text that may not be cut at all spaces and marks."""
+        if not _PLAIN.fullmatch(text) or any(x in text for x in self.added):
+            return self.encode([text])[0]
+        times = Counter(_PRE_TOKEN.findall(text))
+        places = dict(zip(times, self.find(list(times), np.fromiter(times.values(), np.int64, len(times))).tolist(), strict=True))
+        return self.gather(np.fromiter(map(places.__getitem__, _PRE_TOKEN.findall(text)), np.int64, times.total()))
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null counts as empty."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        marked = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)  # NUL marks the cuts
+        cut = pc.if_else(pa.array(marked), "", texts) if marked.any() else texts
+        for found, put in ((" ", "\0 "), *((x, "\0" + x) for x in STOPS), ("\n", "\0\n\0")):
+            cut = pc.replace_substring(cut, found, put)
+        lists = pc.split_pattern(cut, "\0")
+        pieces = lists.flatten().dictionary_encode()
+        nth = pieces.indices.to_numpy()
+        places = self.find(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(nth, minlength=len(pieces.dictionary)))[nth]
+        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        real = self.heads[places] != EMPTY
+        places, owner = places[real], owner[real]
+        heads, tails = self.heads[places], self.tails[places]
+        bad = heads == BAD
+        bad[1:] |= (owner[1:] == owner[:-1]) & ~SAFE[tails[:-1], heads[1:]]
+        odd = marked.copy()
+        odd[owner[bad]] = True
+        ends = np.cumsum(np.bincount(owner, weights=self.sizes[places], minlength=len(texts)).astype(np.int64))
+        flat = self.gather(places)
+        out = np.split(flat, ends[:-1]) if len(texts) else []
+        for i in np.flatnonzero(odd):
+            out[i] = self.uncut(texts[int(i)].as_py())
         return out
 
 
-class _Places(dict):
-    """Numbers keys as they come and lists the new ones."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = place = len(self)
-        self.new.append(key)
-        return place
-
-
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -236,19 +337,17 @@ def _cut_rows(path: str, capacity: int, end_id: int, with_ids: bool):
         encoder = _encoder(path)
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
             at = 0
             while at < len(keys):
-                block, total = [], 0
-                while at + len(block) < len(keys) and (not block or total < BLOCK):
-                    block.append(texts[at + len(block)].as_py() or "")
-                    total += len(block[-1])
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK)))
                 rows = []
-                for key, ids in zip(keys[at : at + len(block)], encoder(block), strict=True):
+                for key, ids in zip(keys[at:end], encoder(texts.slice(at, end - at)), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for k, (start, n) in enumerate(cuts(len(ids), capacity)):
                         own = ids[start : start + n]
                         rows.append((key, k, start, n, zlib.crc32(own.tobytes()), own.astype(np.int32) if with_ids else None))
-                at += len(block)
+                at = end
                 columns = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
                 names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
@@ -276,4 +375,5 @@ def packed_sequences(documents: DataFrame, path: str, capacity: int = CAPACITY,
 
 def op1_packing(documents: DataFrame, path: str) -> DataFrame:
     """Digest rows of the packing of all documents."""
-    return pack(token_pieces(documents, path, with_ids=False), "length", ["doc_id", "piece"])
+    with arrow_batches(documents.sparkSession, 1024):
+        return pack(token_pieces(documents, path, with_ids=False), "length", ["doc_id", "piece"])
