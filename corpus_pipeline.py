@@ -29,19 +29,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class: that with the smallest doc_id."""
+    """Keep one document of each near-duplicate class: that with the smallest doc_id, null last.
+
+    Texts without words are like none but equal ones; of rows equal in doc_id and text one stays.
+    Texts of any length count whole.
+    """
     return neardup.drop_near_duplicates(docs.select(*documents_schema()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents so that sources meet their target weights."""
+    """Repeat or drop documents so that sources meet their target weights.
+
+    Rows of one doc_id are taken alike, rows without one by their text; a null source is one of
+    its own; texts without words follow the whole copies of their source.
+    """
     drawn = mixing.mix_documents(docs.select(*documents_schema()))
     times = F.sequence(F.lit(1), F.col("copies"))
     return drawn.filter(F.col("copies") > 0).select(*documents_schema(), F.explode(times).alias("_copy")).select(*documents_schema())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences of all documents that are left."""
+    """Pieces of the packed sequences of all documents that are left.
+
+    A null or empty text is its end token, a text longer than a sequence several pieces; repeated
+    rows are packed one by one, and no rows give no pieces.
+    """
     return packing.op1_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
