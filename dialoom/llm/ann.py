@@ -19,6 +19,9 @@ PARTS = 16  # subspaces of the product quantiser
 CODES = 256  # centroids of each
 RERANKED = 200  # candidates a query keeps for the exact distances
 BLOCK_VECTORS, BLOCK_PROBES = 16_384, 100_000  # vectors, and (query, list) rows, that meet in one task, about
+TRIED, REACHED = 256, 0.95  # sampled queries that the share of lists is fitted on, and the share of their neighbours it must reach
+AT_ONCE = 512  # queries ranked against all lists at a time
+MAX_TASKS = 2048
 
 
 class Index(NamedTuple):
@@ -97,20 +100,33 @@ def _coded(index, dimension: int):
     return run
 
 
+def probe_count(sample: np.ndarray, index: Index, k: int, seed: int = 5) -> int:
+    """Nearest lists that hold REACHED of the ``k`` nearest rows of TRIED rows of the sample, within the sample.
+
+    Neighbours among all rows are nearer than those among the sample, so the count errs upwards.
+    """
+    chosen = np.random.default_rng(seed).permutation(len(sample))[:TRIED]
+    own = nearest(sample, index.centroids, 1)[:, 0]
+    order = nearest(sample[chosen], index.centroids, len(index.centroids))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    found = nearest(sample[chosen], sample, min(k + 1, len(sample)))
+    places = np.take_along_axis(place, own[found], axis=1)[found != chosen[:, None]]
+    return int(np.quantile(places, REACHED, method="higher")) + 1 if len(places) else 1
+
+
 def _probes(index, dimension: int, sizes: np.ndarray, probes: int, least: int):
     """Lists of each query: the ``probes`` nearest, and more while these hold fewer than ``least`` vectors."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            near = nearest(_matrix(batch.column("v"), dimension), index.value.centroids, len(sizes))
-            held = np.cumsum(sizes[near], axis=1)
-            take = (np.arange(near.shape[1])[None, :] < probes) | (held - sizes[near] < least)
-            rows, places = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("query_id").take(pa.array(rows)), pa.array(near[rows, places], pa.int32()), batch.column("v").take(pa.array(rows))], ["query_id", "list", "v"]
-            )
+            for at in range(0, len(batch), AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                near = nearest(_matrix(part.column("v"), dimension), index.value.centroids, len(sizes)).astype(np.int32)
+                held = np.cumsum(sizes[near], axis=1)
+                take = (np.arange(near.shape[1])[None, :] < probes) | (held - sizes[near] < least)
+                rows, places = np.nonzero(take)
+                yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(rows)), pa.array(near[rows, places])], ["query_id", "list"])
 
     return run
 
@@ -125,10 +141,10 @@ def _scan_block(index, kept: int):
         bounds = {int(x): (int(lo), int(hi)) for x, lo, hi in zip(*_runs(lists), strict=True)}
         places = np.arange(PARTS)[None, :]
         out_query, out_vec, out_near = [], [], []
-        for query, part in queries.groupby("query_id", sort=False):
-            v = np.asarray(part["v"].iloc[0], np.float32)
+        for query, asked, v in zip(queries["query_id"], queries["lists"], queries["v"], strict=True):
+            v = np.asarray(v, np.float32)
             near, found = [], []
-            for own in part["list"]:
+            for own in asked:
                 if int(own) in bounds:
                     lo, hi = bounds[int(own)]
                     rest = _split((v - index.value.centroids[int(own)])[None, :])[0]
@@ -156,8 +172,8 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values[begins], begins, np.append(begins[1:], len(values)) if len(values) else begins
 
 
-def build_index(vectors: DataFrame, dimension: int, seed: int = 5) -> tuple[Index | None, int]:
-    """Centroids and codebooks from a sample of about SAMPLE rows chosen by a hash of vec_id, and the row count."""
+def build_index(vectors: DataFrame, dimension: int, k: int, seed: int = 5) -> tuple[Index | None, int]:
+    """Centroids and codebooks from a sample of about SAMPLE rows chosen by a hash of vec_id, and the lists a query needs."""
     n = vectors.count()
     if not n:
         return None, 0
@@ -166,18 +182,19 @@ def build_index(vectors: DataFrame, dimension: int, seed: int = 5) -> tuple[Inde
     sample = np.array(chosen.select("v").toPandas()["v"].tolist(), np.float32).reshape(-1, dimension)
     if not len(sample):
         sample = np.array(vectors.select("v").limit(SAMPLE).toPandas()["v"].tolist(), np.float32)
-    return fit(sample, int(min(MAX_LISTS, max(1, n**0.5)))), n
+    index = fit(sample, int(min(MAX_LISTS, max(1, n**0.5))))
+    return index, probe_count(sample, index, k)
 
 
-def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int = 10, probe_share: float = 0.6, reranked: int = RERANKED) -> DataFrame:
+def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int = 10, probe_share: float | None = None, reranked: int = RERANKED) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows of each query row but itself, by Euclidean distance.
 
-    All rows are indexed. A query scans the nearest ``probe_share`` of the lists (at least 8) by
-    asymmetric distances, list by list in blocks of bounded size, and the best ``reranked`` candidates are
+    All rows are indexed. A query scans the nearest lists, at least 8 and as many as the sample
+    shows to hold its neighbours (``probe_count``) or ``probe_share`` of all, by asymmetric distances, list by list in blocks of bounded size, and the best ``reranked`` candidates are
     measured exactly, in double precision, on the original vectors; ties go to the smaller vec_id.
     Vectors that are null, zero, of another than the most frequent dimension, without vec_id, or
     that hold null or non-finite components take no part. Of rows that repeat a vec_id the nearest
-    counts.
+    counts. Other columns than vec_id, embedding and those of ``is_query`` are ignored.
     """
     sizes = embeddings.filter(F.col("embedding").isNotNull()).groupBy(F.size("embedding").alias("d")).count()
     top = sizes.filter("d > 0").orderBy(F.desc("count"), F.desc("d")).first()
@@ -188,8 +205,8 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int = 10, pro
     dimension = top["d"]
     rows = embeddings.filter(F.col("vec_id").isNotNull() & usable("embedding", dimension))
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), is_query.alias("q"))
-    fitted, n = build_index(vectors, dimension)
-    if not n:
+    fitted, needed = build_index(vectors, dimension, k)
+    if fitted is None:
         return spark.createDataFrame([], schema)
     index = spark.sparkContext.broadcast(fitted)
     lists = len(fitted.centroids)
@@ -198,8 +215,8 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int = 10, pro
     for r in coded.groupBy("list").count().collect():  # at most MAX_LISTS rows
         held[r["list"]] = r["count"]
     queries = vectors.filter("q").select(F.col("vec_id").alias("query_id"), "v")
-    probes = max(8, int(lists * probe_share))
-    asked = stored(queries.mapInArrow(_probes(index, dimension, held, probes, 2 * reranked), "query_id long, list int, v array<float>"), "probes")
+    probes = max(8, needed if probe_share is None else int(lists * probe_share))
+    asked = stored(queries.mapInArrow(_probes(index, dimension, held, probes, 2 * reranked), "query_id long, list int"), "probes")
     asks = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
     plan, at, room, rows_of = [], 0, BLOCK_VECTORS, {}
     for i in sorted(asks):  # neighbouring small lists share a block, a large one has several
@@ -213,10 +230,13 @@ def nearest_neighbours(embeddings: DataFrame, is_query: Column, k: int = 10, pro
         at, room = (at + parts, BLOCK_VECTORS) if parts > 1 else (at, room - int(held[i]))
     qblocks = int(-(-max(rows_of.values(), default=1) // BLOCK_PROBES))
     blocks = F.broadcast(spark.createDataFrame(plan, "list int, first int, parts int"))  # at most MAX_LISTS rows
-    left = asked.join(blocks, "list").select(F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(qblocks)).cast("int").alias("qblock"), "list", "query_id", "v")
+    left = asked.join(blocks, "list").select(F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(qblocks)).cast("int").alias("qblock"), "list", "query_id")
+    left = left.groupBy("block", "qblock", "query_id").agg(F.collect_list("list").alias("lists"))  # at most the lists of one block
+    left = left.join(queries.groupBy("query_id").agg(F.first("v").alias("v")), "query_id")  # one vector a block
     right = coded.join(blocks, "list").select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qblock"), "list", "vec_id", "codes")
     key = ["block", "qblock"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_scan_block(index, reranked), "query_id long, vec_id long, near float")
+    tasks = min(MAX_TASKS, max(1, len(rows_of) * qblocks))  # a set number, so that blocks are not dealt to few tasks by their bytes
+    found = left.repartition(tasks, *key).groupBy(*key).cogroup(right.repartition(tasks, *key).groupBy(*key)).applyInPandas(_scan_block(index, reranked), "query_id long, vec_id long, near float")
     best = Window.partitionBy("query_id").orderBy("near", "vec_id")
     candidates = stored(found.filter("query_id != vec_id").withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= reranked).select("query_id", "vec_id"), "candidates")
     with_query = candidates.join(queries.select("query_id", F.col("v").alias("qv")), "query_id")

@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from dialoom.llm.workers import give_back
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 64  # labelled rows a language is learned from
 SAMPLE_CHARS = 512  # characters taken of each, from a place that its id decides
 SALTS = 64  # parts of a language's rows when the sample is drawn
-LANE = 256  # bytes parsed in a row; texts are parsed as so many independent lanes
+LANE = 256  # bytes parsed in a row; the lanes of a text are parsed at once, then joined
 BLOCK = 1 << 22  # bytes a worker parses at a time
-_LETTER = re.compile(r"[^\W\d_]")
+ROWS_AT_ONCE = 2048
 
 
 class Automaton(NamedTuple):
@@ -97,7 +97,12 @@ def train(samples: dict[str, list[str]]) -> Models:
 
 def phrase_counts(texts: list[bytes], models: Models) -> np.ndarray:
     """Phrases (rows: texts, columns: languages) of the greedy parse: each is the longest match in the
-    automaton, and a byte that matches nothing is one; a lane's end also ends a phrase."""
+    automaton, and a byte that matches nothing is one.
+
+    Texts are cut into lanes that are parsed side by side as if a phrase began at each; then the
+    parse of the lane before is carried into each lane until both reach one state, and the
+    phrases up to there are counted anew. So the counts are those of one parse of the whole text.
+    """
     data = models.classes[np.frombuffer(b"".join(texts), np.uint8)]
     sizes = np.array([len(x) for x in texts])
     lanes = -(-sizes // LANE)
@@ -106,45 +111,92 @@ def phrase_counts(texts: list[bytes], models: Models) -> np.ndarray:
     begins = np.repeat(np.cumsum(sizes) - sizes, lanes) + nth * LANE
     lengths = np.minimum(LANE, np.repeat(sizes, lanes) - nth * LANE)
     order = np.argsort(-lengths, kind="stable")
-    owner, begins, lengths = owner[order], begins[order], lengths[order]
-    out = np.zeros((len(texts), len(models.automata)))
+    sorted_begins, sorted_lengths = begins[order], lengths[order]
     states = [np.zeros(len(owner), np.int32) for _ in models.automata]
     counts = [np.zeros(len(owner), np.int32) for _ in models.automata]
-    for t in range(int(lengths[0]) if len(lengths) else 0):
-        live = int(np.searchsorted(-lengths, -t, side="left"))  # lanes longer than t
-        symbol = data[begins[:live] + t]
+    for t in range(int(sorted_lengths[0]) if len(owner) else 0):
+        live = int(np.searchsorted(-sorted_lengths, -t, side="left"))  # lanes longer than t
+        symbol = data[sorted_begins[:live] + t]
         for k, model in enumerate(models.automata):
-            after = model.steps[states[k][:live] * models.symbols + symbol]
-            miss = after == 0
-            counts[k][:live] += miss | (states[k][:live] == 0)  # where a phrase begins
-            states[k][:live] = np.where(miss, model.steps[symbol], after)
-    for k in range(len(models.automata)):
-        out[:, k] = np.bincount(owner, weights=counts[k], minlength=len(texts))
+            states[k][:live], fresh = _step(model.steps, models.symbols, states[k][:live], symbol)
+            counts[k][:live] += fresh
+    out = np.zeros((len(texts), len(models.automata)))
+    for k, model in enumerate(models.automata):
+        ends, total = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
+        ends[order], total[order] = states[k], counts[k]
+        total += _carried(model.steps, models.symbols, data, begins, lengths, np.flatnonzero(nth > 0), ends)
+        out[:, k] = np.bincount(owner, weights=total, minlength=len(texts))
     return out
 
 
-def predict(texts: list[str | None], models: Models) -> list[tuple[str, float]]:
+def _step(steps: np.ndarray, symbols: int, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The next states, and where a phrase begins with this symbol."""
+    after = steps[state * symbols + symbol]
+    miss = after == 0
+    return np.where(miss, steps[symbol], after), miss | (state == 0)
+
+
+def _carried(steps, symbols, data, begins, lengths, later: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What the parse of the lane before adds to the phrases of each of the ``later`` lanes."""
+    added = np.zeros(len(begins), np.int64)
+    ends = ends.copy()
+    while len(later):
+        lane, own, fresh = later, ends[later - 1], np.zeros(len(later), np.int32)
+        change = np.zeros(len(later), np.int64)
+        place, changed = np.arange(len(later)), []
+        for t in range(LANE):
+            live = lengths[lane] > t
+            if not live.all():  # the lane ends before both parses meet
+                changed.append((lane[~live], own[~live]))
+                lane, own, fresh, place = lane[live], own[live], fresh[live], place[live]
+            if not len(lane):
+                break
+            symbol = data[begins[lane] + t]
+            own, a = _step(steps, symbols, own, symbol)
+            fresh, b = _step(steps, symbols, fresh, symbol)
+            change[place] += a.astype(np.int64) - b
+            apart = own != fresh
+            lane, own, fresh, place = lane[apart], own[apart], fresh[apart], place[apart]
+        else:
+            changed.append((lane, own))
+        added[later] = change
+        moved = []
+        for at, state in changed:
+            differs = ends[at] != state
+            ends[at[differs]] = state[differs]
+            moved.append(at[differs] + 1)
+        after = np.concatenate([*moved, np.zeros(0, int)]).astype(int)
+        after = after[after < len(begins)]
+        later = np.sort(after[begins[after] == begins[after - 1] + LANE]) if len(after) else after
+    return added
+
+
+def predict(texts: pa.Array | list[str | None], models: Models) -> list[tuple[str, float]]:
     """(language, score) of each text: fewest bits, phrases times log2 of the sample's length.
 
     The score is the runner-up's share of the bits of the best two: 0.5 is a tie; 1 if only one
     language is known, 0 for ``und``.
     """
     found: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-    real = [i for i, x in enumerate(texts) if x and _LETTER.search(x)] if models.automata else []
     weights = np.array([m.bits for m in models.automata])
     at = 0
-    while at < len(real):
-        block, total = [], 0
-        while at + len(block) < len(real) and (not block or total < BLOCK):
-            block.append(folded(texts[real[at + len(block)]]))
-            total += len(block[-1])
+    while at < len(texts) and models.automata:
+        block, real, total = [], [], 0
+        while at < len(texts) and total < BLOCK:
+            text = texts[at].as_py() if isinstance(texts, pa.Array) else texts[at]
+            if text and any(map(str.isalpha, text)):
+                block.append(folded(text))
+                real.append(at)
+                total += len(block[-1])
+            at += 1
+        if not block:
+            continue
         bits = phrase_counts(block, models) * weights
         ranks = np.argsort(bits, axis=1, kind="stable")
-        for i, row, rank in zip(real[at : at + len(block)], bits, ranks, strict=True):
+        for i, row, rank in zip(real, bits, ranks, strict=True):
             best = row[rank[0]]
             score = 1.0 if len(rank) == 1 else float(row[rank[1]] / (best + row[rank[1]]))
             found[i] = (models.automata[rank[0]].lang, score)
-        at += len(block)
     return found
 
 
@@ -176,21 +228,26 @@ def labelled_sample(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int =
 def identify(documents: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
     """Add lang_pred and score to ``documents``; every whole text is parsed, nothing else is looked at.
 
-    A null text, or one without a letter, is ``und`` with score 0.
+    A null text, or one without a letter, is ``und`` with score 0. Columns that already bear
+    these names are replaced; all others, repeated rows too, pass by untouched: only texts go to
+    the Python workers, in batches of at most ROWS_AT_ONCE rows (a setting of the session that
+    is lowered here, as the returned frame runs later; it changes no result).
     """
-    models = documents.sparkSession.sparkContext.broadcast(train(samples))
-    names = documents.columns
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = predict(batch.column("text").to_pylist(), models.value)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                [*names, "lang_pred", "score"],
-            )
-
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *added]))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = documents.sparkSession
+    if not 0 < int(spark.conf.get(setting)) <= ROWS_AT_ONCE:
+        spark.conf.set(setting, ROWS_AT_ONCE)
+    models = spark.sparkContext.broadcast(train(samples))
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def found(texts: pa.Array) -> pa.Array:
+        rows = predict(texts, models.value)
+        give_back()
+        parts = [pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.float64())]
+        return pa.StructArray.from_arrays(parts, ["lang_pred", "score"])
+
+    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    return documents.select(*kept, found("text").alias("_found")).select(*kept, "_found.lang_pred", "_found.score")
 
 
 def op6_langid(documents: DataFrame) -> DataFrame:

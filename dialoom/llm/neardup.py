@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from dialoom.llm import bloom
 from dialoom.llm.components import connected_components
 from dialoom.llm.storage import arrow_batches, drop_stored, stored
+from dialoom.llm.workers import give_back, kept
 
 
 class Settings(NamedTuple):
@@ -26,9 +27,11 @@ class Settings(NamedTuple):
 
 
 KEY_MASK = np.uint64((1 << 60) - 1)
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 100_000
 BLOOM_BITS = 1 << 24
 PAIRS_AT_ONCE = 128
+SPOKES = 512  # texts, about, that meet one copy of their hub's bag
+TEXTS_AT_ONCE = 1024
 SMALL = 16  # texts of a bucket up to which pairs are compared without further proof
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,21 +53,18 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
 
-_WORDS = _Words()
-
-
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of characters between white space."""
     return text.lower().split() if text else []
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(kept("words", _Words).__getitem__, words), np.uint64, len(words))
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -176,6 +176,7 @@ def _sign(settings: Settings):
                     [*[batch.column(c).slice(begin, at - begin) for c in ("_row", "doc_id", "_hash")], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(own, pa.list_(pa.int64()))],
                     ["_row", "doc_id", "_hash", "_t0", "_t1", "_bands"],
                 )
+        give_back()
 
     return run
 
@@ -184,20 +185,25 @@ def _bags_of(settings: Settings, wanted):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
         for batch in batches:
-            hashes = [word_hashes(words_of(x.as_py())) for x in batch.column("text")]
-            keys = [text_key(h) for h in hashes]
-            if not keys:
-                continue
-            pairs = np.array(keys, np.int64)
-            out = []
-            for i in np.flatnonzero(bloom.hits(wanted.value, pairs[:, 0], pairs[:, 1])):
-                if keys[i] not in done:
-                    if len(done) < 200_000:
-                        done.add(keys[i])
-                    out.append((*keys[i], shingles(hashes[i], settings.shingle).tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["_t0", "_t1", "_bag"]
-            )
+            texts, at = batch.column("text"), 0
+            while at < len(batch):
+                hashes, total = [], 0
+                while at < len(batch) and total < BLOCK_WORDS:
+                    hashes.append(word_hashes(words_of(texts[at].as_py())))
+                    total += len(hashes[-1]) + 50
+                    at += 1
+                keys = [text_key(h) for h in hashes]
+                pairs = np.array(keys, np.int64)
+                out = []
+                for i in np.flatnonzero(bloom.hits(wanted.value, pairs[:, 0], pairs[:, 1])):
+                    if keys[i] not in done:
+                        if len(done) < 200_000:
+                            done.add(keys[i])
+                        out.append((*keys[i], shingles(hashes[i], settings.shingle).tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["_t0", "_t1", "_bag"]
+                )
+        give_back()
 
     return run
 
@@ -227,14 +233,21 @@ def _compared(least: float):
                 [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(missing, pa.int32()), pa.array(extra, pa.int32()), pa.array(size, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
                 ["a", "b", "linked", "missing", "extra", "size", "tokens"],
             )
+        give_back()
 
     return run
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, least: float, name: str) -> DataFrame:
-    """a, b, linked, missing, extra, size, tokens of distinct pairs of text ids (a, b, wide)."""
-    with_a = pairs.join(bags.select(F.col("_rep").alias("a"), F.col("_bag").alias("_a")), "a")
-    both = with_a.join(bags.select(F.col("_rep").alias("b"), F.col("_bag").alias("_b")), "b").select("a", "b", "wide", "_a", "_b")
+    """a, b, linked, missing, extra, size, tokens of distinct pairs of text ids (a, b, wide).
+
+    A text b of many pairs, such as a hub, has its bag copied once for about SPOKES of them.
+    """
+    copies = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("_copies")), "copies")
+    second = bags.select(F.col("_rep").alias("b"), F.col("_bag").alias("_b")).join(copies, "b").select("b", "_b", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_salt"))
+    salted = stored(pairs.join(copies, "b").select("a", "b", "wide", F.pmod(F.xxhash64("a"), F.col("_copies")).cast("int").alias("_salt")), "salted")
+    with_a = salted.join(bags.select(F.col("_rep").alias("a"), F.col("_bag").alias("_a")), "a")
+    both = with_a.join(second, ["b", "_salt"]).select("a", "b", "wide", "_a", "_b")
     with arrow_batches(pairs.sparkSession, PAIRS_AT_ONCE):  # a row holds two whole bags
         return stored(both.mapInArrow(_compared(least), "a long, b long, linked boolean, missing int, extra int, size int, tokens array<long>"), name)
 
@@ -259,7 +272,8 @@ def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings()
     is missed.
     """
     rows = documents.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("_hash"), "text")
-    signed = stored(rows.mapInArrow(_sign(settings), "_row long, doc_id long, _hash long, _t0 long, _t1 long, _bands array<long>"), "signed")
+    with arrow_batches(documents.sparkSession, TEXTS_AT_ONCE):
+        signed = stored(rows.mapInArrow(_sign(settings), "_row long, doc_id long, _hash long, _t0 long, _t1 long, _bands array<long>"), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
     texts = stored(
         signed.groupBy("_t0", "_t1").agg(F.min("_row").alias("_rep"), F.first("_bands").alias("_bands"), F.min(order).alias("_first"), F.count("*").alias("_n")), "texts"
@@ -285,7 +299,8 @@ def _classes(documents: DataFrame, texts: DataFrame, members: DataFrame, setting
     busy = stored(busy, "busy")
     wanted = spark.sparkContext.broadcast(bloom.build(busy, F.col("_t0"), F.col("_t1"), bloom_bits))
     raw = documents.select("text").mapInArrow(_bags_of(settings, wanted), "_t0 long, _t1 long, _bag binary")
-    bags = stored(raw.join(busy, ["_t0", "_t1"]).groupBy("_rep").agg(F.first("_bag").alias("_bag")), "bags")
+    with arrow_batches(spark, TEXTS_AT_ONCE):
+        bags = stored(raw.join(busy, ["_t0", "_t1"]).groupBy("_rep").agg(F.first("_bag").alias("_bag")), "bags")
 
     sizes = stored(members.groupBy("_key").agg(F.count("*").alias("_n")), "sizes")
     ranks = stored(members.join(sizes, "_key").groupBy("_rep").agg(F.sum("_n").alias("_score")), "ranks")
@@ -316,11 +331,17 @@ def _small_bucket_pairs(stars: DataFrame, checked: DataFrame) -> DataFrame:
 
 
 def _wide_bucket_pairs(checked: DataFrame, least: float) -> DataFrame:
-    """Pairs (a < b) of one hub that share a rare enough difference from it to be linked."""
+    """Pairs (a < b) of one hub that share a rare enough difference from it to be linked.
+
+    Only tokens of several texts, one of them not linked to the hub, can bring forth a pair; all
+    others count as the rarest ones. Tokens are counted by partial sums, so that one which
+    every text of a hub lacks gathers in no task.
+    """
     apart = checked.filter(F.col("tokens").isNotNull()).select(F.col("b").alias("hub"), F.col("a").alias("y"), "linked", "missing", "extra", "size", F.explode("tokens").alias("token"))
     apart = stored(apart, "apart")
-    times = F.count("*").over(Window.partitionBy("hub", "token"))
-    common = apart.withColumn("n", times).filter("n > 1")  # a token of one text pairs with none
+    times = apart.groupBy("hub", "token").agg(F.count("*").alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("free"))
+    times = stored(times.filter("n > 1 AND free > 0").select("hub", "token", "n"), "times")
+    common = stored(apart.join(times, ["hub", "token"]), "common")
     total = F.col("missing") + F.col("extra")
     weight = F.col("missing") + least * F.col("extra")
     slack = weight - (1 - least) * F.col("size")  # above 0 for texts that are not linked to the hub
@@ -328,7 +349,7 @@ def _wide_bucket_pairs(checked: DataFrame, least: float) -> DataFrame:
     each = Window.partitionBy("hub", "y")
     nth = F.row_number().over(each.orderBy("n", "token"))
     ranked = common.withColumns({"shared": F.count("*").over(each), "nth": nth})
-    place = total - F.col("shared") + F.col("nth")  # tokens of no other text are the rarest
+    place = total - F.col("shared") + F.col("nth")  # tokens that bring forth no pair are the rarest
     ranked = stored(
         ranked.select("hub", "token", "y", "linked", "missing", "extra", "size", place.alias("place"), (total - place).alias("later"), weight.alias("weight"), slack.alias("slack"), total.alias("total")), "ranked"
     )

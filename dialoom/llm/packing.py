@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 
 from dialoom.llm.ranking import ranked_in_group
 from dialoom.llm.storage import arrow_batches, stored
+from dialoom.llm.workers import give_back, kept
 
 CAPACITY = 1024
 END_ID = 2
-CACHED = 600_000  # pieces of texts whose ids a worker remembers
+CACHED = 200_000  # pieces of texts whose ids a worker remembers
 ENCODED_AT_ONCE = 8192  # new ones that the tokenizer gets at a time
-BLOCK = 1 << 22  # bytes of texts a worker handles at a time
+BLOCK = 1 << 20  # bytes of texts a worker handles at a time
 
 
 class Run(NamedTuple):
@@ -201,7 +202,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = self.added_tokens(json.loads(self.tokenizer.to_str()))
+        self.added = self.added_tokens()
         self.model = self.tokenizer.model
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level models write as they are, the rest from 256 on
         hidden = [b for b in range(256) if b not in shown]
@@ -211,18 +212,18 @@ class ChunkEncoder:
         self.starts, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
         self.heads, self.tails = np.zeros(0, np.int8), np.zeros(0, np.int8)
 
-    @staticmethod
-    def added_tokens(config: dict) -> list[str]:
+    def added_tokens(self) -> list[str]:
         """Added tokens of a tokenizer whose texts may be cut as this class does."""
-        cutter, model, added = config["pre_tokenizer"] or {}, config["model"], config["added_tokens"]
+        model, added = self.tokenizer.model, self.tokenizer.get_added_tokens_decoder().values()
+        cutter = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         fits = (
-            cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space") and not config["normalizer"]
-            and model["type"] == "BPE" and not model["dropout"] and not model["end_of_word_suffix"] and not model["continuing_subword_prefix"]
-            and not any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] or set(x["content"]) & {*STOPS, *" \n"} for x in added)
+            cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space") and not self.tokenizer.normalizer
+            and type(model).__name__ == "BPE" and not model.dropout and not model.end_of_word_suffix and not model.continuing_subword_prefix
+            and not any(x.single_word or x.lstrip or x.rstrip or x.normalized or set(x.content) & {*STOPS, *" \n"} for x in added)
         )
         if not fits:
             raise ValueError("texts of this tokenizer cannot be cut before spaces and marks")
-        return [x["content"] for x in added]
+        return [x.content for x in added]
 
     @staticmethod
     def joined(runs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -316,14 +317,9 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def _encoder(path: str) -> ChunkEncoder:
     """One encoder a worker process, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return kept(f"encoder {path}", lambda: ChunkEncoder(path))
 
 
 def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -353,6 +349,7 @@ def _cut_rows(path: str, capacity: int, end_id: int, with_ids: bool):
                 names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
                 keep = 6 if with_ids else 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:keep], kinds, strict=False)], list(names[:keep]))
+        give_back()
 
     return run
 

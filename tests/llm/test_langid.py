@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -10,17 +11,14 @@ from tests.llm.helpers import ODD, documents, with_clashes
 
 
 def phrases(data, sample):
-    """Greedy parse by substring search; lanes as in the operator."""
-    count = 0
-    for at in range(0, len(data), langid.LANE):
-        lane = data[at : at + langid.LANE]
-        i = 0
-        while i < len(lane):
-            n = 1
-            while i + n < len(lane) and lane[i : i + n + 1] in sample:
-                n += 1
-            count += 1
-            i += n
+    """Greedy parse of the whole text by substring search."""
+    count = i = 0
+    while i < len(data):
+        n = 1
+        while i + n < len(data) and data[i : i + n + 1] in sample:
+            n += 1
+        count += 1
+        i += n
     return count
 
 
@@ -45,6 +43,38 @@ def test_automaton_accepts_substrings_only(text, probe):
     assert inside == (probe in text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc", max_size=90), min_size=1, max_size=5), st.text("abc", min_size=1, max_size=200))
+def test_short_lanes_join_to_one_parse(texts, sample):
+    models = langid.train({"x": [sample]})
+    before, langid.LANE = langid.LANE, 7
+    try:
+        assert langid.phrase_counts([t.encode() for t in texts], models)[:, 0].tolist() == [phrases(t, sample) for t in texts]
+    finally:
+        langid.LANE = before
+
+
+def test_predictions_against_brute_force(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").limit(40)
+    samples = langid.labelled_sample(docs, rows=3, chars=200)
+    joined = {lang: b" ".join(langid.folded(x) for x in parts) for lang, parts in samples.items()}
+    models = langid.train(samples)
+
+    def symbols(data):
+        return bytes(models.classes[b] for b in data)
+
+    for r in langid.identify(docs, samples).collect():
+        text = symbols(langid.folded(r.text))[:3000]
+        bits = {lang: phrases(text, symbols(own)) * math.log2(len(own) + 2) for lang, own in joined.items()}
+        if len(r.text.encode()) < 3000:
+            assert r.lang_pred == min(sorted(bits), key=bits.get)
+
+
+def test_only_letters_count(spark):
+    got = langid.identify(documents(spark, ["½ ² Ⅷ", "1 _ 2", "日本"]), {"en": ["the cat"], "ja": ["日本語"]}).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == ["und", "und", "ja"]
+
+
 def test_held_out_accuracy(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = langid.op6_langid(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
