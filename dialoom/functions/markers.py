@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The marker grammars and block forms of the corpus format.
-MARKER = r"\[STATE:\s*(\w+)\s*(?:→|->)\s*(\w+)\s*\]"
-LOOSE_MARKER = r"\[STATE:\s*([^\]\-→]+?)\s*(?:→|->)\s*([^\]\-→]+?)\s*\]"
+MARKER = r"\[STATE:\s*([A-Za-z_][A-Za-z0-9_]*)\s*(?:→|->)\s*([A-Za-z_][A-Za-z0-9_]*)\s*\]"  # states of scoring
+LOOSE_MARKER = r"\[STATE:\s*([^\]\-→]+?)\s*(?:→|->)\s*([^\]]+?)\s*\]"  # states of preference pairs
 ANY_MARKER = r"\[STATE:[^\]]*\]"
 CALL_BLOCK = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
 CALL_BLOCK_ALT = r"(?s)<\|tool_call\|>\s*(\{.*?\})\s*(?:<\|/tool_call\|>|$)"
@@ -46,7 +46,7 @@ def id_tokens(content: Column) -> Column:
 
 def prose(content: Column) -> Column:
     """Text without tool calls and markers, stripped."""
-    bare = F.regexp_replace(F.regexp_replace(content, r"(?s)<tool_call>.*?</tool_call>", ""), ANY_MARKER, "")
+    bare = F.regexp_replace(F.regexp_replace(content, r"(?is)<tool_call>.*?</tool_call>", ""), ANY_MARKER, "")
     return F.regexp_replace(bare, r"^\s+|\s+$", "")
 
 
@@ -73,14 +73,19 @@ def format_compliance(text: Column) -> Column:
 
 
 def humanised(condition: Column) -> Column:
-    """Snake case to words."""
-    return F.trim(F.regexp_replace(F.regexp_replace(condition, "_+", " "), r"\s+", " "))
+    """Snake case to words, without the prefixes of generated conditions, state ids and the word "to"; null is empty."""
+    words = F.coalesce(condition, F.lit(""))
+    for prefix in ("proceed_from_", "branch_"):
+        words = F.replace(words, F.lit(prefix), F.lit(""))
+    for pattern, put in (("_", " "), (r"\b[Ss][0-9]+\b", ""), (r"\bto\b", ""), (r"\s+", " ")):
+        words = F.regexp_replace(words, pattern, put)
+    return F.trim(words)
 
 
-def shape(content: Column, words: int) -> Column:
-    """``bare`` or ``fused`` call by the length of the prose beside it, else ``no_tool``."""
+def shape(content: Column, characters: int) -> Column:
+    """``fused`` call if the prose beside it has that many characters, else ``bare_call``; ``no_tool`` without one."""
     has = F.size(call_blocks(content)) > 0
-    return F.when(~has, "no_tool").when(F.length(prose(content)) < words, "bare").otherwise("fused")
+    return F.when(~has, "no_tool").when(F.length(prose(content)) < characters, "bare_call").otherwise("fused")
 
 
 THAI = "฀-๿"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,19 +91,14 @@ def set_f1(pred: Column, true: Column) -> Column:
 
 
 def bag_f1(pred: Column, true: Column) -> Column:
-    """Token F1 with repeats: common tokens are counted up to the smaller of both counts.
-
-    The k-th copy of a token becomes a token of its own, so that sets can be intersected in linear time.
-    """
-    bind = lambda value, body: F.get(F.transform(F.array(value), body), 0)  # noqa: E731  # lambdas do not evaluate ``value`` again
+    """F1 of two bags of words: a word counts up to the smaller of both counts; 0 if either is empty, null if either is null."""
 
-    def copies(bag: Column) -> Column:
-        starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
-        runs = lambda s, at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda i, j: F.transform(F.sequence(F.lit(1), F.get(at, j + 1) - i), lambda k: F.concat(k.cast("string"), F.lit(" "), F.get(s, i))))
-        return bind(F.array_sort(bag), lambda s: bind(starts(s), lambda at: F.flatten(runs(s, at))))
+    @F.arrow_udf("long")
+    def common(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else sum((Counter(x.split(" ")) & Counter(y.split(" "))).values()) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
 
-    common = F.size(F.array_intersect(copies(pred), copies(true)))
-    return F.when((F.size(pred) == 0) | (F.size(true) == 0), 0.0).otherwise(2 * common / (F.size(pred) + F.size(true)))
+    shared = common(F.array_join(pred, " "), F.array_join(true, " "))
+    return F.when((F.size(pred) == 0) | (F.size(true) == 0), 0.0).otherwise(2 * shared / (F.size(pred) + F.size(true)))
 
 
 def tokens(text: Column) -> Column:

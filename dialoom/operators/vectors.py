@@ -158,3 +158,12 @@ def canonical_kinds(paths: DataFrame) -> DataFrame:
     return text.union(mixed)
 
 
+def outlier_channels(rows: DataFrame, column: str, threshold: float = 6.0, least: float = 1e-8) -> DataFrame:
+    """pos, top, outlier of each channel: its largest magnitude exceeds ``threshold`` times the median of all channels' largest.
+
+    None is an outlier if that median is below ``least``. Maxima are partial sums of the scan; what is left has one row a channel.
+    """
+    flat = rows.select(F.posexplode(column).alias("pos", "x"))
+    tops = flat.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.max(F.abs(F.col("x").cast("double"))).alias("top"))
+    middle = tops.agg(F.median("top").alias("middle"))  # one row
+    return tops.crossJoin(F.broadcast(middle)).select("pos", "top", ((F.col("top") > threshold * F.col("middle")) & (F.col("middle") >= least)).alias("outlier"))

@@ -178,12 +178,14 @@ def _(spark, d):
     return dialog(spark, d).filter("role = 'assistant'").select("conv_id", "turn", F.inline(markers.transitions(F.col("content")))).join(F.broadcast(edges), "src", "left").select("conv_id", "turn", "src", flipped.alias("flipped"))
 
 
-@P.query("str09_humanised", "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_type), '[ _]+', '_', 'g'), '_+', ' ', 'g')) AS words FROM part")
+@P.query("str09_humanised", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(x, 'proceed_from_', ''), 'branch_', ''), '_', ' '), '\b[Ss]\d+\b', '', 'g'), '\bto\b', '', 'g'), '\s+', ' ', 'g')) AS words FROM (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'proceed_from_S' || p_size || '_to_' WHEN p_size % 3 = 1 THEN 'branch_s' || p_size || 'x_' ELSE '' END || replace(lower(p_type), ' ', '__') AS x FROM part)")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", markers.humanised(F.regexp_replace(F.lower("p_type"), "[ _]+", "__")).alias("words"))
+    size = F.col("p_size").cast("string")
+    prefix = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("proceed_from_S"), size, F.lit("_to_"))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("branch_s"), size, F.lit("x_"))).otherwise("")
+    return table(spark, d, "part").select("p_partkey", markers.humanised(F.concat(prefix, F.replace(F.lower("p_type"), F.lit(" "), F.lit("__")))).alias("words"))
 
 
-@P.query("str19_shape", over_dialog("SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'bare' ELSE 'no_tool' END AS shape FROM dialog WHERE role = 'assistant'"))
+@P.query("str19_shape", over_dialog("SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'bare_call' ELSE 'no_tool' END AS shape FROM dialog WHERE role = 'assistant'"))
 def _(spark, d):
     return dialog(spark, d).filter("role = 'assistant'").select("conv_id", "turn", markers.shape(F.col("content"), 20).alias("shape"))
 

@@ -14,11 +14,8 @@ from dialoom.sources import table
 P = Plans()
 
 
-def _li(spark, d, limit=3000):
-    return table(spark, d, "lineitem").filter(F.col("l_orderkey") <= limit)
-
-
-L = "lineitem WHERE l_orderkey <= 3000"
+def _li(spark, d):
+    return table(spark, d, "lineitem")
 
 
 # ---- trajectories: an order's lines are turns; gold is N0>N1>N2>N3
@@ -34,7 +31,7 @@ def _turns(spark, d):
 
 
 _WALK = f"""WITH RECURSIVE t AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, count(*) OVER (PARTITION BY l_orderkey) AS total,
-    CASE WHEN l_partkey % 3 = 0 THEN 'stay' WHEN l_suppkey % 9 = 0 THEN 'bad' ELSE 'N' || (l_linenumber - 1) END AS mv FROM {L}),
+    CASE WHEN l_partkey % 3 = 0 THEN 'stay' WHEN l_suppkey % 9 = 0 THEN 'bad' ELSE 'N' || (l_linenumber - 1) END AS mv FROM lineitem),
   w AS (SELECT DISTINCT k, 0::BIGINT AS n, 0 AS cursor, 0 AS stalls, 0 AS run, '' AS reason FROM t UNION ALL
     SELECT k, n, cursor, stalls, run, CASE WHEN NOT stay AND NOT ok THEN 'diverged' WHEN cursor >= 3 THEN 'gold_complete' WHEN run >= 2 THEN 'stall' WHEN n >= total THEN 'script_exhausted' WHEN n >= 5 THEN 'turn_cap' ELSE '' END AS reason FROM (
       SELECT w.k, t.n, t.total, mv = 'stay' AS stay, mv = 'N' || cursor AND cursor < 3 AS ok, cursor + CASE WHEN mv = 'N' || cursor AND cursor < 3 THEN 1 ELSE 0 END AS cursor,
@@ -60,39 +57,39 @@ def _(spark, d):
     return _turns(spark, d).withColumn("s", trajectories.align(F.col("turns"), F.col("gold"), 2, 5)).select("l_orderkey", metrics.renormalised(terms).alias("reward"))
 
 
-@P.query("scr13_chain_score", f"SELECT l_orderkey, coalesce(avg(hit::INT) FILTER (WHERE hit IS NOT NULL), 1)::DOUBLE AS score FROM (SELECT l_orderkey, lag(l_partkey % 4) OVER w = l_suppkey % 4 AS hit FROM {L} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)) GROUP BY l_orderkey")
+@P.query("scr13_chain_score", "SELECT l_orderkey, coalesce(avg(hit::INT) FILTER (WHERE hit IS NOT NULL), 1)::DOUBLE AS score FROM (SELECT l_orderkey, lag(l_partkey % 4) OVER w = l_suppkey % 4 AS hit FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) GROUP BY l_orderkey")
 def _(spark, d):
     one = lambda c: F.array((F.col(c) % 4).cast("string"))
-    rows = _li(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", one("l_suppkey").alias("need"), one("l_partkey").alias("give")))).alias("m"))
+    rows = _li(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", one("l_suppkey").alias("need"), one("l_partkey").alias("give")))).alias("m"))
     return rows.select("l_orderkey", trajectories.chain_score(F.transform("m", lambda m: m["need"]), F.transform("m", lambda m: m["give"])).alias("score"))
 
 
-@P.query("scr09_business_reward", f"SELECT l_orderkey * 10 + l_linenumber AS i, CASE WHEN l_tax > 0.04 THEN (0.4::DOUBLE * l_discount + 0.3::DOUBLE * l_tax) / (0.4::DOUBLE + 0.3::DOUBLE) ELSE 0.4::DOUBLE * l_discount / 0.4::DOUBLE END AS reward FROM {L}")
+@P.query("scr09_business_reward", "SELECT l_orderkey * 10 + l_linenumber AS i, CASE WHEN l_tax > 0.04 THEN (0.4::DOUBLE * l_discount + 0.3::DOUBLE * l_tax) / (0.4::DOUBLE + 0.3::DOUBLE) ELSE 0.4::DOUBLE * l_discount / 0.4::DOUBLE END AS reward FROM lineitem")
 def _(spark, d):
     terms = [(0.4, F.lit(True), F.col("l_discount")), (0.3, F.col("l_tax") > 0.04, F.col("l_tax"))]
     return _li(spark, d).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), metrics.renormalised(terms).alias("reward"))
 
 
-@P.query("scr11_slot_accuracy", f"SELECT l_orderkey, avg((l_quantity = CASE WHEN l_partkey % 4 = 0 THEN 1 ELSE l_quantity END)::INT)::DOUBLE AS slots FROM {L} GROUP BY l_orderkey")
+@P.query("scr11_slot_accuracy", "SELECT l_orderkey, avg((l_quantity = CASE WHEN l_partkey % 4 = 0 THEN 1 ELSE l_quantity END)::INT)::DOUBLE AS slots FROM lineitem GROUP BY l_orderkey")
 def _(spark, d):
     got = F.when(F.col("l_partkey") % 4 == 0, 1.0).otherwise(F.col("l_quantity"))
     return _li(spark, d).groupBy("l_orderkey").agg(F.avg((F.col("l_quantity") == got).cast("int")).alias("slots"))
 
 
-@P.query("scr12_graph_reward", f"SELECT l_orderkey * 10 + l_linenumber AS i, CASE WHEN l_returnflag = 'A' THEN 0 ELSE 0.1::DOUBLE + 0.35::DOUBLE * l_discount + 0.35::DOUBLE * l_tax + 0.1::DOUBLE * (1 - l_discount) + 0.1::DOUBLE * (l_linestatus = 'F')::INT END AS reward FROM {L}")
+@P.query("scr12_graph_reward", "SELECT l_orderkey * 10 + l_linenumber AS i, CASE WHEN l_returnflag = 'A' THEN 0 ELSE 0.1::DOUBLE + 0.35::DOUBLE * l_discount + 0.35::DOUBLE * l_tax + 0.1::DOUBLE * (1 - l_discount) + 0.1::DOUBLE * (l_linestatus = 'F')::INT END AS reward FROM lineitem")
 def _(spark, d):
     terms = F.lit(0.1) + F.lit(0.35) * F.col("l_discount") + F.lit(0.35) * F.col("l_tax") + F.lit(0.1) * (1 - F.col("l_discount")) + F.lit(0.1) * (F.col("l_linestatus") == "F").cast("int")
     return _li(spark, d).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), F.when(F.col("l_returnflag") == "A", 0.0).otherwise(terms).alias("reward"))
 
 
-@P.query("scr14_audit_parts", f"SELECT l_orderkey * 10 + l_linenumber AS i, 0.4::DOUBLE * l_discount AS state_part, 0.4::DOUBLE * l_tax AS tool_part FROM {L}")
+@P.query("scr14_audit_parts", "SELECT l_orderkey * 10 + l_linenumber AS i, 0.4::DOUBLE * l_discount AS state_part, 0.4::DOUBLE * l_tax AS tool_part FROM lineitem")
 def _(spark, d):
     return _li(spark, d).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), (F.lit(0.4) * F.col("l_discount")).alias("state_part"), (F.lit(0.4) * F.col("l_tax")).alias("tool_part"))
 
 
-@P.query("scr07_full_success", f"SELECT o_orderkey, bool_and(l_returnflag <> 'R') AND bool_or(l_linestatus = 'F') AS success FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey <= 3000 GROUP BY o_orderkey")
+@P.query("scr07_full_success", "SELECT o_orderkey, bool_and(l_returnflag <> 'R') AND bool_or(l_linestatus = 'F') AS success FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def _(spark, d):
-    rows = table(spark, d, "orders").filter("o_orderkey <= 3000").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     lines = rows.groupBy("o_orderkey").agg(F.collect_list(F.struct("l_returnflag", "l_linestatus")).alias("m"))
     return lines.select("o_orderkey", (F.forall("m", lambda m: m["l_returnflag"] != "R") & F.exists("m", lambda m: m["l_linestatus"] == "F")).alias("success"))
 
@@ -128,10 +125,10 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", texts.edit_similarity(F.col("text"), F.substring("text", 11, 2**31 - 1)).alias("score"))
 
 
-@P.query("sim05_category_exact", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 100 ELSE 0 END::DOUBLE AS score FROM documents WHERE doc_id % 3 = 0")
+@P.query("sim05_category_exact", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 100 ELSE 0 END::DOUBLE AS score FROM documents")
 def _(spark, d):
     pred = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), F.col("lang"), F.lit("\n"))).otherwise("zz")
-    return table(spark, d, "documents").filter("doc_id % 3 = 0").select("doc_id", texts.category_score(F.lit("other"), pred, F.col("lang")).alias("score"))
+    return table(spark, d, "documents").select("doc_id", texts.category_score(F.lit("other"), pred, F.col("lang")).alias("score"))
 
 
 @P.query("sim05_category_scores")
@@ -233,7 +230,7 @@ def _(spark, d):
     return ids.select("conv_id", "turn", F.element_at(back, F.col("a")).alias("src"), F.element_at(back, F.col("b")).alias("dst"))
 
 
-@P.query("prj12_decoded_truth", f"SELECT l_orderkey, l_linenumber, 'N' || l_linenumber AS src, l_returnflag AS dst FROM {L}")
+@P.query("prj12_decoded_truth", "SELECT l_orderkey, l_linenumber, 'N' || l_linenumber AS src, l_returnflag AS dst FROM lineitem")
 def _(spark, d):
     pair = F.struct(F.concat(F.lit("N"), F.col("l_linenumber").cast("string")).alias("from"), F.col("l_returnflag").alias("to"))
     text = F.to_json(F.struct(F.array(pair).alias("state_sequence")))
@@ -292,54 +289,54 @@ def _(spark, d):
     return produced.join(calls, ["conv_id", "id"]).filter("produced < used").select("conv_id", "produced", "used")
 
 
-@P.query("join18_adjacent_segments", f"SELECT a.l_orderkey, a.l_linenumber AS here, b.l_linenumber AS there FROM {L.replace('lineitem', 'lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber IN (a.l_linenumber, a.l_linenumber + 1)', 1).replace('l_orderkey <= 3000', 'a.l_orderkey <= 500')} AND a.l_partkey % 5 = b.l_partkey % 5")
+@P.query("join18_adjacent_segments", "SELECT a.l_orderkey, a.l_linenumber AS here, b.l_linenumber AS there FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber IN (a.l_linenumber, a.l_linenumber + 1) AND a.l_partkey % 5 = b.l_partkey % 5")
 def _(spark, d):
-    rows = _li(spark, d, 500).select("l_orderkey", F.col("l_linenumber").alias("here"), (F.col("l_partkey") % 5).alias("k"))
+    rows = _li(spark, d).select("l_orderkey", F.col("l_linenumber").alias("here"), (F.col("l_partkey") % 5).alias("k"))
     spread = rows.select("l_orderkey", "here", "k", F.explode(F.array(F.col("here"), F.col("here") + 1)).alias("there"))
     return spread.join(rows.withColumnRenamed("here", "there"), ["l_orderkey", "there", "k"]).select("l_orderkey", "here", "there")
 
 
 # ---- roll-ups of probes
-@P.query("agg03_pooled", f"SELECT avg(f) AS f1 FROM (SELECT l_orderkey, avg((l_partkey % 3 = 0)::INT)::DOUBLE AS f FROM {L} GROUP BY l_orderkey)")
+@P.query("agg03_pooled", "SELECT avg(f) AS f1 FROM (SELECT l_orderkey, avg((l_partkey % 3 = 0)::INT)::DOUBLE AS f FROM lineitem GROUP BY l_orderkey)")
 def _(spark, d):
     return _li(spark, d).groupBy("l_orderkey").agg(F.avg((F.col("l_partkey") % 3 == 0).cast("int")).alias("f")).agg(F.avg("f").alias("f1"))
 
 
-@P.query("agg05_graph_means", f"SELECT sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE l_discount END) / count(*) AS ged, sum(CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_tax END) / count(*) AS node_f1 FROM {L}")
+@P.query("agg05_graph_means", "SELECT sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE l_discount END) / count(*) AS ged, sum(CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_tax END) / count(*) AS node_f1 FROM lineitem")
 def _(spark, d):
     bad = F.col("l_returnflag") == "A"
     return _li(spark, d).agg((F.sum(F.when(bad, 1.0).otherwise(F.col("l_discount"))) / F.count("*")).alias("ged"), (F.sum(F.when(bad, 0.0).otherwise(F.col("l_tax"))) / F.count("*")).alias("node_f1"))
 
 
-@P.query("agg27_free_running", f"SELECT avg((l_tax > 0.03)::INT)::DOUBLE AS rate, count(*) FILTER (WHERE l_tax > 0.03 AND l_discount <= 0.03) AS only_a, count(*) FILTER (WHERE l_tax <= 0.03 AND l_discount > 0.03) AS only_b FROM {L}")
+@P.query("agg27_free_running", "SELECT avg((l_tax > 0.03)::INT)::DOUBLE AS rate, count(*) FILTER (WHERE l_tax > 0.03 AND l_discount <= 0.03) AS only_a, count(*) FILTER (WHERE l_tax <= 0.03 AND l_discount > 0.03) AS only_b FROM lineitem")
 def _(spark, d):
     a, b = F.col("l_tax") > 0.03, F.col("l_discount") > 0.03
     return _li(spark, d).agg(F.avg(a.cast("int")).alias("rate"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"))
 
 
-@P.query("agg28_pass_at_k_curve", f"SELECT 1 AS k, avg(c / n::DOUBLE) AS p FROM (SELECT count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS c FROM {L} GROUP BY l_orderkey)")
+@P.query("agg28_pass_at_k_curve", "SELECT 1 AS k, avg(c / n::DOUBLE) AS p FROM (SELECT count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS c FROM lineitem GROUP BY l_orderkey)")
 def _(spark, d):
     trials = _li(spark, d).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("c"))
     return trials.agg(F.avg(metrics.pass_at_k(F.col("n"), F.col("c"), 1)).alias("p")).select(F.lit(1).alias("k"), "p")
 
 
-@P.query("agg29_prompt_stats", f"SELECT l_orderkey, avg(l_tax) AS mean, stddev_pop(l_tax) AS std, count(DISTINCT trim(l_returnflag)) AS distinct_texts FROM {L} GROUP BY l_orderkey")
+@P.query("agg29_prompt_stats", "SELECT l_orderkey, avg(l_tax) AS mean, stddev_pop(l_tax) AS std, count(DISTINCT trim(l_returnflag)) AS distinct_texts FROM lineitem GROUP BY l_orderkey")
 def _(spark, d):
     return _li(spark, d).groupBy("l_orderkey").agg(F.avg("l_tax").alias("mean"), F.stddev_pop("l_tax").alias("std"), F.countDistinct(F.trim("l_returnflag")).alias("distinct_texts"))
 
 
-@P.query("agg30_profile_shares", f"SELECT avg((l_linenumber > 1)::INT)::DOUBLE AS with_tool, avg((l_returnflag = 'N')::INT)::DOUBLE AS moving FROM {L}")
+@P.query("agg30_profile_shares", "SELECT avg((l_linenumber > 1)::INT)::DOUBLE AS with_tool, avg((l_returnflag = 'N')::INT)::DOUBLE AS moving FROM lineitem")
 def _(spark, d):
     return _li(spark, d).agg(F.avg((F.col("l_linenumber") > 1).cast("int")).alias("with_tool"), F.avg((F.col("l_returnflag") == "N").cast("int")).alias("moving"))
 
 
-@P.query("agg31_wrong_rates", f"SELECT l_linestatus AS kind, avg((l_tax > 0.05)::INT)::DOUBLE AS wrong, avg((l_tax > 0.05)::INT) FILTER (WHERE l_linenumber > 1)::DOUBLE AS wrong_with_tool FROM {L} GROUP BY l_linestatus")
+@P.query("agg31_wrong_rates", "SELECT l_linestatus AS kind, avg((l_tax > 0.05)::INT)::DOUBLE AS wrong, avg((l_tax > 0.05)::INT) FILTER (WHERE l_linenumber > 1)::DOUBLE AS wrong_with_tool FROM lineitem GROUP BY l_linestatus")
 def _(spark, d):
     wrong = (F.col("l_tax") > 0.05).cast("int")
     return _li(spark, d).groupBy(F.col("l_linestatus").alias("kind")).agg(F.avg(wrong).alias("wrong"), F.avg(F.when(F.col("l_linenumber") > 1, wrong)).alias("wrong_with_tool"))
 
 
-@P.query("agg32_generation_stats", f"SELECT count(*) AS made, count(*) FILTER (WHERE l_returnflag = 'A') / greatest(count(*), 1)::DOUBLE AS rejected FROM {L}")
+@P.query("agg32_generation_stats", "SELECT count(*) AS made, count(*) FILTER (WHERE l_returnflag = 'A') / greatest(count(*), 1)::DOUBLE AS rejected FROM lineitem")
 def _(spark, d):
     return _li(spark, d).agg(F.count("*").alias("made"), (F.count_if(F.col("l_returnflag") == "A") / F.greatest(F.count("*"), F.lit(1))).alias("rejected"))
 

@@ -159,7 +159,7 @@ def _(spark, d):
     return _pairs(spark, d).agg(F.avg((F.col("tool") == F.col("ptool")).cast("int")).alias("accuracy"), F.avg(F.array_contains(top, F.col("tool")).cast("int")).alias("top3"))
 
 
-_AUDIT = """SELECT l_orderkey * 10 + l_linenumber AS row_index, CASE WHEN l_suppkey % 2 = 0 THEN 'x' ELSE 'y' END AS stratum, l_discount * 10 AS state_acc, l_tax * 10 AS tool_f1, CAST(l_returnflag = 'R' AS INT) AS task, l_linenumber % 3 AS n_gt_trans, l_linenumber % 2 AS n_gt_tools FROM {lineitem} WHERE l_orderkey <= 3000"""
+_AUDIT = """SELECT l_orderkey * 10 + l_linenumber AS row_index, CASE WHEN l_suppkey % 2 = 0 THEN 'x' ELSE 'y' END AS stratum, l_discount * 10 AS state_acc, l_tax * 10 AS tool_f1, CAST(l_returnflag = 'R' AS INT) AS task, l_linenumber % 3 AS n_gt_trans, l_linenumber % 2 AS n_gt_tools FROM {lineitem}"""
 
 
 def _audit(spark, d):
@@ -265,11 +265,13 @@ def _(spark, d):
     return _audit(spark, d).groupBy("stratum").agg(F.when(m < 0.2, "STOP").when(m >= 0.35, "GO").otherwise("REVIEW").alias("gate"))
 
 
-@P.query("sim01_bag_f1", """SELECT doc_id, CASE WHEN c = 0 OR c IS NULL THEN 0 ELSE 2 * c / (na + nb) END::DOUBLE AS f1 FROM (SELECT a.doc_id, (SELECT count(*) FROM w WHERE w.doc_id = a.doc_id) AS na, (SELECT count(*) FROM v WHERE v.doc_id = a.doc_id) AS nb,
-  (SELECT sum(least(x.n, y.n)) FROM (SELECT t, count(*) AS n FROM w WHERE w.doc_id = a.doc_id GROUP BY t) x JOIN (SELECT t, count(*) AS n FROM v WHERE v.doc_id = a.doc_id GROUP BY t) y USING (t)) AS c FROM documents a)""".replace("FROM (SELECT a.doc_id", "FROM (WITH w AS (SELECT doc_id, t FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(left(text, 200)), '\\s+')) AS t FROM documents) WHERE t <> ''), v AS (SELECT doc_id, t FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(substr(text, 101, 200)), '\\s+')) AS t FROM documents) WHERE t <> '') SELECT a.doc_id"))
+@P.query("sim01_bag_f1", r"""WITH w AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS t FROM documents) WHERE t <> '' GROUP BY ALL),
+  v AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(substr(text, 101)), '\s+')) AS t FROM documents) WHERE t <> '' GROUP BY ALL),
+  c AS (SELECT doc_id, sum(least(w.n, v.n)) AS c FROM w JOIN v USING (doc_id, t) GROUP BY doc_id)
+  SELECT doc_id, coalesce(2 * c / ((SELECT sum(n) FROM w WHERE w.doc_id = d.doc_id) + (SELECT sum(n) FROM v WHERE v.doc_id = d.doc_id)), 0)::DOUBLE AS f1 FROM documents d LEFT JOIN c USING (doc_id)""")
 def _(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", metrics.bag_f1(metrics.tokens(F.left("text", F.lit(200))), metrics.tokens(F.substring("text", 101, 200))).alias("f1"))
+    return docs.select("doc_id", metrics.bag_f1(metrics.tokens(F.col("text")), metrics.tokens(F.substring("text", 101, 2**31 - 1))).alias("f1"))
 
 
 QUERIES, ORACLE = P.queries, P.oracle

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dialoom.operators import latency, sampling
+from dialoom.operators import latency, sampling, vectors
 from dialoom.plans.base import Plans
 from dialoom.sources import table
 
@@ -107,13 +107,6 @@ def _(spark, d):
     return firsts.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "source"))), lambda x: x["source"]), ",").alias("sources"))
 
 
-@P.query("win15_runs", "SELECT doc_id, sum(CASE WHEN p IS NULL OR p <> lang THEN 1 ELSE 0 END) OVER (ORDER BY doc_id)::BIGINT AS run FROM (SELECT doc_id, lang, lag(lang) OVER (ORDER BY doc_id) AS p FROM documents WHERE source = 'src1') ORDER BY 1")
-def _(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = _docs(spark, d).filter("source = 'src1'").withColumn("p", F.lag("lang").over(w))
-    return rows.select("doc_id", F.sum(F.when(F.col("p").isNull() | (F.col("p") != F.col("lang")), 1).otherwise(0)).over(w).alias("run"))
-
-
 @P.query("win15_runs_by_source", "SELECT source, doc_id, sum(CASE WHEN p IS NULL OR p <> lang THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS run FROM (SELECT source, doc_id, lang, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents)")
 def _(spark, d):
     w = Window.partitionBy("source").orderBy("doc_id")
@@ -399,10 +392,10 @@ def _(spark, d):
     return flat.groupBy(F.col("pos").cast("long").alias("pos")).agg(low.alias("low"), F.greatest((high - low) / 15, F.lit(1e-8)).alias("scale"))
 
 
-@P.query("vec05_outlier_channels", "SELECT pos, max(abs(x)) > 3 * median(abs(x)) AS outlier FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY pos")
+@P.query("vec05_outlier_channels", "WITH m AS (SELECT pos, max(abs(x)) * CASE WHEN pos % 9 = 0 THEN 8 ELSE 1 END AS top FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY pos) SELECT pos, top > 6 * (SELECT median(top) FROM m) AND (SELECT median(top) FROM m) >= 1e-8 AS outlier FROM m")
 def _(spark, d):
-    flat = table(spark, d, "embeddings").select(F.posexplode("embedding").alias("pos", "x")).select(F.col("pos").cast("long").alias("pos"), F.abs(F.col("x").cast("double")).alias("x"))
-    return flat.groupBy("pos").agg((F.max("x") > 3 * F.median("x")).alias("outlier"))
+    scaled = F.transform("embedding", lambda x, i: x.cast("double") * F.when(i % 9 == 0, 8.0).otherwise(1.0))
+    return vectors.outlier_channels(table(spark, d, "embeddings").select(scaled.alias("embedding")), "embedding").select("pos", "outlier")
 
 
 QUERIES, ORACLE = P.queries, P.oracle
