@@ -32,6 +32,7 @@ BLOOM_BITS = 1 << 24
 PAIRS_AT_ONCE = 128
 SPOKES = 512  # texts, about, that meet one copy of their hub's bag
 TEXTS_AT_ONCE = 1024
+HOT, MOST_HOT = 4096, 1 << 17  # rows that make a token of a hub hot; hot tokens at most
 SMALL = 16  # texts of a bucket up to which pairs are compared without further proof
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -334,14 +335,20 @@ def _wide_bucket_pairs(checked: DataFrame, least: float) -> DataFrame:
     """Pairs (a < b) of one hub that share a rare enough difference from it to be linked.
 
     Only tokens of several texts, one of them not linked to the hub, can bring forth a pair; all
-    others count as the rarest ones. Tokens are counted by partial sums, so that one which
-    every text of a hub lacks gathers in no task.
+    others count as the rarest ones. Hot tokens, such as one that every text of a
+    hub lacks, are counted by partial sums and sent to all tasks, so that their rows gather nowhere.
     """
     apart = checked.filter(F.col("tokens").isNotNull()).select(F.col("b").alias("hub"), F.col("a").alias("y"), "linked", "missing", "extra", "size", F.explode("tokens").alias("token"))
     apart = stored(apart, "apart")
-    times = apart.groupBy("hub", "token").agg(F.count("*").alias("n"), F.count(F.when(~F.col("linked"), 1)).alias("free"))
-    times = stored(times.filter("n > 1 AND free > 0").select("hub", "token", "n"), "times")
-    common = stored(apart.join(times, ["hub", "token"]), "common")
+    least_hot = max(HOT, -(-apart.count() // MOST_HOT))  # so many rows have at most MOST_HOT tokens as frequent
+    free = F.count(F.when(~F.col("linked"), 1))
+    times = apart.groupBy("hub", "token").agg(F.count("*").alias("hot_n"), free.alias("hot_free")).filter(F.col("hot_n") >= least_hot)
+    hot = F.broadcast(stored(times, "hot"))
+    spread = F.when(F.col("hot_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("y"), F.lit(1024)))
+    marked = apart.join(hot, ["hub", "token"], "left").withColumn("spread", spread)
+    same = Window.partitionBy("hub", "token", "spread")  # fewer than least_hot rows, or one of 1024 parts of a hot token
+    counted = marked.withColumns({"n": F.coalesce("hot_n", F.count("*").over(same)), "free": F.coalesce("hot_free", free.over(same))})
+    common = counted.filter("n > 1 AND free > 0").drop("hot_n", "hot_free", "spread", "free")
     total = F.col("missing") + F.col("extra")
     weight = F.col("missing") + least * F.col("extra")
     slack = weight - (1 - least) * F.col("size")  # above 0 for texts that are not linked to the hub
