@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dialoom.llm import bloom
 from dialoom.llm.components import connected_components
-from dialoom.llm.storage import arrow_batches, drop_stored, stored
+from dialoom.llm.storage import arrow_batches, drop_stored, release_shuffles, stored
 from dialoom.llm.workers import give_back, kept
 
 
@@ -250,7 +250,11 @@ def _verified(pairs: DataFrame, bags: DataFrame, least: float, name: str) -> Dat
     with_a = salted.join(bags.select(F.col("_rep").alias("a"), F.col("_bag").alias("_a")), "a")
     both = with_a.join(second, ["b", "_salt"]).select("a", "b", "wide", "_a", "_b")
     with arrow_batches(pairs.sparkSession, PAIRS_AT_ONCE):  # a row holds two whole bags
-        return stored(both.mapInArrow(_compared(least), "a long, b long, linked boolean, missing int, extra int, size int, tokens array<long>"), name)
+        done = stored(both.mapInArrow(_compared(least), "a long, b long, linked boolean, missing int, extra int, size int, tokens array<long>"), name)
+    drop_stored(salted)
+    drop_stored(copies)
+    release_shuffles(pairs.sparkSession)
+    return done
 
 
 def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings(), bloom_bits: int = BLOOM_BITS) -> DataFrame:
@@ -282,12 +286,19 @@ def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings()
     banded = texts.filter(F.col("_bands").isNotNull()).select("_rep", F.explode("_bands").alias("_key"))
     shared = stored(banded.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key"), "buckets")
     members = stored(banded.join(shared, "_key", "left_semi").select("_key", "_rep"), "members")
+    drop_stored(shared)
+    release_shuffles(documents.sparkSession)
     classes = _classes(documents, texts, members, settings, bloom_bits)
     labels = stored(
         texts.join(classes, "_rep", "left").select("_t0", "_t1", F.coalesce("_class", "_rep").alias("_class"), "_first", "_n"), "labels"
     )
+    drop_stored(texts)
+    drop_stored(members)
     found = stored(labels.groupBy("_class").agg(F.min("_first").alias("_best"), F.sum("_n").alias("_size")), "classes")
     named = stored(labels.select("_t0", "_t1", "_class").join(found, "_class").select("_t0", "_t1", "_best", "_size"), "named")
+    drop_stored(labels)
+    drop_stored(found)
+    release_shuffles(documents.sparkSession)
     return signed.select("_row", "doc_id", "_hash", "_t0", "_t1").join(named, ["_t0", "_t1"]).select(
         "doc_id", F.col("_best.d").alias("class_id"), F.col("_size").alias("class_size"), (F.col("_row") == F.col("_best.r")).alias("kept"), "_hash"
     )
@@ -302,12 +313,15 @@ def _classes(documents: DataFrame, texts: DataFrame, members: DataFrame, setting
     raw = documents.select("text").mapInArrow(_bags_of(settings, wanted), "_t0 long, _t1 long, _bag binary")
     with arrow_batches(spark, TEXTS_AT_ONCE):
         bags = stored(raw.join(busy, ["_t0", "_t1"]).groupBy("_rep").agg(F.first("_bag").alias("_bag")), "bags")
+    release_shuffles(spark)
 
     sizes = stored(members.groupBy("_key").agg(F.count("*").alias("_n")), "sizes")
     ranks = stored(members.join(sizes, "_key").groupBy("_rep").agg(F.sum("_n").alias("_score")), "ranks")
     hubs = members.join(ranks, "_rep").groupBy("_key").agg(F.count("*").alias("_n"), F.max(F.struct("_score", (-F.col("_rep")).alias("_least"))).alias("_best"))
     hubs = stored(hubs.select("_key", "_n", (-F.col("_best._least")).alias("_hub")), "hubs")
     stars = stored(members.join(hubs, "_key"), "stars")
+    for spent in (sizes, ranks, hubs):
+        drop_stored(spent)
     spokes = stars.filter("_rep != _hub").groupBy(F.col("_rep").alias("a"), F.col("_hub").alias("b")).agg((F.max("_n") > SMALL).alias("wide"))
     checked = _verified(spokes, bags, settings.similarity, "spokes")
 
@@ -317,7 +331,8 @@ def _classes(documents: DataFrame, texts: DataFrame, members: DataFrame, setting
     more = _verified(rest, bags, settings.similarity, "others")
     links = checked.filter("linked").select("a", "b").union(more.filter("linked").select("a", "b"))
     components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    drop_stored(bags)
+    for spent in (bags, busy, stars, tested):
+        drop_stored(spent)
     return components.select(F.col("node").alias("_rep"), F.col("component").alias("_class"))
 
 

@@ -50,6 +50,11 @@ def drop_stored(frame: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver's collector find shuffles that no plan refers to any longer, so that executors delete their files."""
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within this block, Python workers get at most so many rows at once; for jobs that run in it."""
