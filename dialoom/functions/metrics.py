@@ -76,6 +76,11 @@ def task_complete(pred: Column, terminals: Column) -> Column:
     return F.when(F.size(pred) == 0, False).otherwise(F.array_contains(terminals, F.element_at(pred, -1)["dst"]))
 
 
+def all_complete(trials: Column, terminals: Column) -> Column:
+    """Whether there are trials and the last target of each is terminal."""
+    return (F.size(trials) > 0) & F.forall(trials, lambda t: task_complete(t, terminals))
+
+
 def name_accuracy(pred: Column, true: Column) -> Column:
     """Share of positions, over the longer list, with equal tool names; both empty 1."""
     longer = F.greatest(F.size(pred), F.size(true))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dialoom.functions import metrics
+from dialoom.operators import messages, reports
 from dialoom.plans.base import Plans, dialog, over_dialog
 from dialoom.sources import table
 
@@ -58,6 +59,14 @@ def _(spark, d):
     return each.agg(F.avg("a").alias("transition_accuracy"), (F.sum("i") / F.greatest(F.sum("n"), F.lit(1))).alias("invalid_rate"), F.avg("c").alias("completion"))
 
 
+@P.query("agg01_state_machine_report")
+def _(spark, d):
+    fewer = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.slice("pred", 1, F.greatest(F.size("pred") - k, F.lit(1))))
+    healed = messages.recoveries(dialog(spark, d))
+    rows = _arrays(spark, d).withColumn("trials", fewer).join(healed, "conv_id", "left").fillna(0, ["errors", "recovered"])
+    return reports.state_report(rows, F.array(F.lit("S0"), F.lit("S3")))
+
+
 @P.query("scr02_task_completion", _sql("SELECT conv_id, max_by(pdst, turn) IN ('S1', 'S3') AS done FROM p GROUP BY conv_id"))
 def _(spark, d):
     return _arrays(spark, d).select("conv_id", metrics.task_complete(F.col("pred"), F.array(F.lit("S1"), F.lit("S3"))).alias("done"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import graphs, jsonvalue, stats
+from dialoom.functions import truth as truths
 from dialoom.operators import vectors
 from dialoom.plans.base import Plans
 from dialoom.sources import table
@@ -109,10 +110,18 @@ def _(spark, d):
     return vectors.canonical_kinds(paths)
 
 
-@P.query("flt09_null_sentinels", r"SELECT p_partkey FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'N/A' WHEN p_partkey % 7 = 0 THEN '0000' ELSE p_name END AS x FROM part) WHERE NOT regexp_full_match(lower(x), 'unknown|n/?a|none|null|tbd|placeholder|pending|0{3,}|0000+')")
+_SCHEMAS = '[{"function": {"name": "log", "parameters": {"required": ["id"]}}}, {"name": "rate", "parameters": {"required": ["score"]}}]'
+_TRUTHS = (  # two of them are made up: a placeholder where an id is required, a score of 11
+    '{"name": "log", "arguments": {"id": " N/A ", "region": "x"}}', '{"name": "log", "arguments": {"id": "A1", "region": "unknown"}}', '{"name": "rate", "arguments": {"Score": 11}}',
+    '{"name": "rate", "arguments": {"score": true}}', '{"name": "rate", "arguments": {"score": 9.5, "id": "0000"}}', '{"name": "other", "arguments": {"id": "none"}}',
+)
+
+
+@P.query("flt09_null_sentinels", "SELECT event_id, 2 - (event_id % 6 IN (0, 2))::INT - ((event_id + 1) % 6 IN (0, 2))::INT AS n_kept, CASE event_id % 6 WHEN 0 THEN 'log' WHEN 1 THEN 'log' WHEN 2 THEN 'rate' WHEN 3 THEN 'rate' WHEN 4 THEN 'rate' ELSE 'other' END AS first_kept FROM events")
 def _(spark, d):
-    x = F.when(F.col("p_partkey") % 5 == 0, "N/A").when(F.col("p_partkey") % 7 == 0, "0000").otherwise(F.col("p_name"))
-    return table(spark, d, "part").filter(~x.rlike(r"(?i)^(unknown|n/?a|none|null|tbd|placeholder|pending|0{3,}|0000+)$")).select("p_partkey")
+    truth = lambda shift: F.get(F.array(*map(F.lit, _TRUTHS)), ((F.col("event_id") + shift) % len(_TRUTHS)).cast("int"))
+    kept = truths.sane_calls(F.concat(F.lit("["), truth(0), F.lit(","), truth(1), F.lit("]")), F.lit(_SCHEMAS))
+    return table(spark, d, "events").select("event_id", F.size(kept).alias("n_kept"), F.get(kept, 0)["name"].alias("first_kept"))
 
 
 @P.query("flt10_placeholder_args", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{}' ELSE '{\"k\":' || (props::JSON->>'k') || '}' END AS args FROM events")
