@@ -163,12 +163,20 @@ def _(spark, d):
     return _graphs(spark, d).select("g", F.size(graphs.back_edges(F.col("nodes"), F.col("edges"))).cast("long").alias("n")).filter("n > 0")
 
 
-@P.query("grf06_lint", _over_edges("SELECT g, 'self_loop' AS defect, src AS node FROM e WHERE src = dst UNION ALL SELECT g, 'fan_out', src FROM e GROUP BY g, src HAVING count(*) > 2"))
+_WAYS = "(SELECT DISTINCT g, src, dst, i % 3 AS p FROM (" + _EDGES.replace("{lineitem}", "lineitem") + "))"
+
+
+@P.query("grf06_lint", _over_edges(f"""SELECT g, 'self_loop:' || src AS defect FROM e WHERE src = dst UNION ALL SELECT g, 'no_way_out:' || x FROM n WHERE x <> 'N4' AND (g, x) NOT IN (SELECT g, src FROM e)
+  UNION ALL SELECT g, 'duplicate_priorities:' || src FROM {_WAYS} GROUP BY g, src HAVING count(*) > count(DISTINCT p) UNION ALL SELECT g, 'bad_name:n1' FROM n WHERE x = 'N1' AND g % 7 = 0
+  UNION ALL SELECT g, 'duplicate_name' FROM n WHERE g % 11 = 0 AND x IN ('N2', 'N3') GROUP BY g HAVING count(*) = 2
+  UNION ALL SELECT g, 'invalid' FROM n GROUP BY g HAVING NOT (bool_or(x = 'N0') AND bool_or(x = 'N4') AND bool_or(x = 'N4' AND (g, x) IN (SELECT g, x FROM r)) AND bool_and((g, x) IN (SELECT g, x FROM r) OR (g, x) IN (SELECT g, x FROM b)))"""))
 def _(spark, d):
-    flat = _graphs(spark, d).select("g", F.inline("edges"))
-    loops = flat.filter("src = dst").select("g", F.lit("self_loop").alias("defect"), F.col("src").alias("node"))
-    fan = flat.groupBy("g", "src").count().filter("count > 2").select("g", F.lit("fan_out").alias("defect"), F.col("src").alias("node"))
-    return loops.union(fan)
+    rows = spark.sql(_EDGES, lineitem=table(spark, d, "lineitem"))
+    ways = rows.groupBy("g").agg(F.array_sort(F.collect_set(F.struct("src", "dst", (F.col("i") % 3).cast("int").alias("priority")))).alias("ways"))
+    ids = F.array_distinct(F.flatten(F.transform("ways", lambda e: F.array(e["src"], e["dst"]))))
+    name = lambda n: F.when((n == "N1") & (F.col("g") % 7 == 0), "n1").when((n == "N3") & (F.col("g") % 11 == 0), "N2").otherwise(n)
+    nodes = F.transform(ids, lambda n: F.struct(n.alias("id"), name(n).alias("name")))
+    return ways.select("g", F.explode(graphs.lint(nodes, F.col("ways"), F.lit("N0"), F.array(F.lit("N4")))).alias("defect"))
 
 
 @P.query("grf08_legality", _over_edges("SELECT g, count(*) FILTER (WHERE a = b OR EXISTS (SELECT 1 FROM e WHERE e.g = q.g AND e.src = a AND e.dst = b)) AS legal FROM (SELECT DISTINCT g FROM e) q, (VALUES ('N0', 'N1'), ('N2', 'N2'), ('N3', 'N4')) v(a, b) GROUP BY g"))

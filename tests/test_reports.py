@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.functions import truth
+from dialoom.functions import graphs, truth
 from dialoom.operators import reports
 
 PAIRS = "array<struct<src:string,dst:string>>"
@@ -40,3 +40,20 @@ def test_sane_calls(spark, name, arguments, kept):
 def test_odd_calls(spark):
     frame = spark.createDataFrame([(None, None), ("{bad", "{bad"), ("[]", "[]")], "calls string, schemas string")
     assert [r[0] for r in frame.select(F.size(truth.sane_calls(F.col("calls"), F.col("schemas")))).collect()] == [0, 0, 0]
+
+
+@pytest.mark.parametrize(
+    "nodes,edges,want",
+    [
+        ([("S1", "ASK"), ("S2", "END")], [("S1", "S2", 0)], []),
+        ([("S1", "ASK"), ("S2", "ASK")], [("S1", "S2", 0)], ["duplicate_name"]),
+        ([("S1", "Ask"), ("S2", "END")], [("S1", "S1", 1), ("S1", "S2", 1)], ["bad_name:Ask", "duplicate_priorities:S1", "self_loop:S1"]),
+        ([("S1", "ASK"), ("S2", "END"), ("S3", "LOST")], [("S1", "S2", None)], ["invalid", "no_way_out:S3"]),
+        ([("S1", "ASK"), ("S2", "END")], [("S1", "S2", 0), ("S1", "S9", 1)], ["unrenderable"]),
+        ([("S 1", "ASK"), ("S2", "END")], [("S 1", "S2", 0)], ["invalid", "unrenderable"]),
+        ([], [], ["invalid", "unrenderable"]),
+    ],
+)
+def test_lint(spark, nodes, edges, want):
+    row = spark.createDataFrame([(nodes, edges)], "n array<struct<id:string,name:string>>, e array<struct<src:string,dst:string,priority:int>>")
+    assert row.select(graphs.lint(F.col("n"), F.col("e"), F.lit("S1"), F.array(F.lit("S2")))).first()[0] == want
