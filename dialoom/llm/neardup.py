@@ -29,7 +29,7 @@ class Settings(NamedTuple):
 KEY_MASK = np.uint64((1 << 60) - 1)
 BLOCK_WORDS = 100_000
 BLOOM_BITS = 1 << 24
-PAIRS_AT_ONCE = 128
+PAIRS_AT_ONCE = 256
 SPOKES = 512  # texts, about, that meet one copy of their hub's bag
 TEXTS_AT_ONCE = 1024
 HOT, MOST_HOT = 4096, 1 << 17  # rows that make a token of a hub hot; hot tokens at most
@@ -217,21 +217,32 @@ def levels(bag: np.ndarray) -> np.ndarray:
 
 
 def _compared(least: float):
-    """Exact similarity of each pair, and for ``wide`` ones what sets the first text apart from the second."""
+    """Exact similarity of each pair, and for ``wide`` ones what sets the first text apart from the second.
+
+    Rows come sorted by (b, _salt), the bag of b itself first (its ``a`` is null), then those of its partners.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hub = None, np.empty(0, np.uint64)
         for batch in batches:
-            linked, missing, extra, size, tokens = [], [], [], [], []
-            for x, y, wide in zip(batch.column("_a"), batch.column("_b"), batch.column("wide").to_pylist(), strict=True):
-                own, hub = levels(np.frombuffer(x.as_py(), np.uint64)), levels(np.frombuffer(y.as_py(), np.uint64))
+            ids, linked, missing, extra, size, tokens = [], [], [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("b", "_salt", "a", "wide")]
+            for b, salt, a, wide, bag in zip(*columns, batch.column("_bag"), strict=True):
+                own = levels(np.frombuffer(bag.as_py(), np.uint64))
+                if a is None:
+                    at, hub = (b, salt), own
+                    continue
+                if at != (b, salt):
+                    raise RuntimeError(f"the bag of text {b} did not come before those of its partners")
                 common = len(np.intersect1d(own, hub, assume_unique=True))
+                ids.append((a, b))
                 linked.append(bool(common >= least * (len(own) + len(hub) - common) - 1e-9))
                 missing.append(len(hub) - common)
                 extra.append(len(own) - common)
                 size.append(len(hub))
                 tokens.append(np.setxor1d(own, hub, assume_unique=True).view(np.int64) if wide else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(missing, pa.int32()), pa.array(extra, pa.int32()), pa.array(size, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
+                [pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array(linked, pa.bool_()), pa.array(missing, pa.int32()), pa.array(extra, pa.int32()), pa.array(size, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
                 ["a", "b", "linked", "missing", "extra", "size", "tokens"],
             )
         give_back()
@@ -242,16 +253,18 @@ def _compared(least: float):
 def _verified(pairs: DataFrame, bags: DataFrame, least: float, name: str) -> DataFrame:
     """a, b, linked, missing, extra, size, tokens of distinct pairs of text ids (a, b, wide).
 
-    A text b of many pairs, such as a hub, has its bag copied once for about SPOKES of them.
+    A text b of many pairs, such as a hub, has its bag copied once for about SPOKES of them. Bags are
+    sent out once, to every place where they are wanted, and meet there in sorted order.
     """
     copies = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("_copies")), "copies")
-    second = bags.select(F.col("_rep").alias("b"), F.col("_bag").alias("_b")).join(copies, "b").select("b", "_b", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_salt"))
-    salted = stored(pairs.join(copies, "b").select("a", "b", "wide", F.pmod(F.xxhash64("a"), F.col("_copies")).cast("int").alias("_salt")), "salted")
-    with_a = salted.join(bags.select(F.col("_rep").alias("a"), F.col("_bag").alias("_a")), "a")
-    both = with_a.join(second, ["b", "_salt"]).select("a", "b", "wide", "_a", "_b")
-    with arrow_batches(pairs.sparkSession, PAIRS_AT_ONCE):  # a row holds two whole bags
-        done = stored(both.mapInArrow(_compared(least), "a long, b long, linked boolean, missing int, extra int, size int, tokens array<long>"), name)
-    drop_stored(salted)
+    partners = pairs.join(copies, "b").select(F.col("a").alias("_rep"), "b", F.pmod(F.xxhash64("a"), F.col("_copies")).cast("int").alias("_salt"), "a", "wide")
+    own = copies.select(F.col("b").alias("_rep"), "b", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_salt"), F.lit(None).cast("long").alias("a"), F.lit(False).alias("wide"))
+    places = stored(partners.union(own), "places")
+    sent = bags.join(places, "_rep").select("b", "_salt", "a", "wide", "_bag").repartition("b", "_salt")
+    with arrow_batches(pairs.sparkSession, PAIRS_AT_ONCE):  # a row holds a whole bag
+        met = sent.sortWithinPartitions("b", "_salt", F.col("a").asc_nulls_first())
+        done = stored(met.mapInArrow(_compared(least), "a long, b long, linked boolean, missing int, extra int, size int, tokens array<long>"), name)
+    drop_stored(places)
     drop_stored(copies)
     release_shuffles(pairs.sparkSession)
     return done
@@ -312,7 +325,8 @@ def _classes(documents: DataFrame, texts: DataFrame, members: DataFrame, setting
     wanted = spark.sparkContext.broadcast(bloom.build(busy, F.col("_t0"), F.col("_t1"), bloom_bits))
     raw = documents.select("text").mapInArrow(_bags_of(settings, wanted), "_t0 long, _t1 long, _bag binary")
     with arrow_batches(spark, TEXTS_AT_ONCE):
-        bags = stored(raw.join(busy, ["_t0", "_t1"]).groupBy("_rep").agg(F.first("_bag").alias("_bag")), "bags")
+        found = raw.join(busy, ["_t0", "_t1"]).groupBy("_t0", "_t1", "_rep").agg(F.first("_bag").alias("_bag"))  # grouped where the join left them
+        bags = stored(found.select("_rep", "_bag"), "bags")
     release_shuffles(spark)
 
     sizes = stored(members.groupBy("_key").agg(F.count("*").alias("_n")), "sizes")
