@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.workers import give_back
+from dialoom.llm.workers import drop_kept, give_back
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 64  # labelled rows a language is learned from
@@ -241,6 +241,7 @@ def identify(documents: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def found(texts: pa.Array) -> pa.Array:
+        drop_kept()
         rows = predict(texts, models.value)
         give_back()
         parts = [pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.float64())]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from dialoom.llm import bloom
 from dialoom.llm.components import connected_components
 from dialoom.llm.storage import arrow_batches, drop_stored, release_shuffles, stored
-from dialoom.llm.workers import give_back, kept
+from dialoom.llm.workers import drop_kept, give_back, kept
 
 
 class Settings(NamedTuple):
@@ -223,6 +223,7 @@ def _compared(least: float):
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         at, hub = None, np.empty(0, np.uint64)
         for batch in batches:
             ids, linked, missing, extra, size, tokens = [], [], [], [], [], []

@@ -20,6 +20,13 @@ def kept(key: str, build: Callable[[], Any]) -> Any:
     return _KEPT[key]
 
 
+def drop_kept() -> None:
+    """Let go what earlier operators have learned in this worker; for operators that keep nothing."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
 def give_back() -> None:
     """Hand freed memory back to the system, since idle workers live on beside the next stage."""
     pa.default_memory_pool().release_unused()
