@@ -402,11 +402,13 @@ def _wide_bucket_pairs(checked: DataFrame, least: float) -> DataFrame:
 
 def drop_near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``documents`` that ``near_duplicate_classes`` keeps, one a class, with all columns."""
-    kept = near_duplicate_classes(documents, settings).filter("kept").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"))
+    none, ident, text_hash = ("_" * max(map(len, ["", *documents.columns])) + c for c in ("none", "id", "hash"))  # names that no column has
+    key = {none: F.col("doc_id").isNull(), ident: F.coalesce("doc_id", F.lit(0).cast("long"))}
+    kept = near_duplicate_classes(documents, settings).filter("kept").withColumns(key).select(F.col("_hash").alias(text_hash), none, ident)
     kept = stored(kept, "kept").hint("merge")
-    rows = documents.withColumn("_hash", F.xxhash64("text"))
-    same = rows["_hash"].eqNullSafe(kept["_h"]) & rows["doc_id"].eqNullSafe(kept["_id"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    rows = documents.withColumns({text_hash: F.xxhash64("text"), **key})
+    same = [text_hash, none, ident]  # never null, so that one exchange of the texts serves both steps
+    return rows.join(kept, same, "left_semi").dropDuplicates(same).select(*documents.columns)
 
 
 def op10_neardup(documents: DataFrame) -> DataFrame:
