@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoom.llm.storage import BATCH_BYTES, BATCH_BYTES_NAME, BATCH_ROWS_NAME
 from dialoom.llm.workers import drop_kept, give_back
 
 UNKNOWN = "und"
@@ -230,13 +231,13 @@ def identify(documents: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
 
     A null text, or one without a letter, is ``und`` with score 0. Columns that already bear
     these names are replaced; all others, repeated rows too, pass by untouched: only texts go to
-    the Python workers, in batches of at most ROWS_AT_ONCE rows (a setting of the session that
-    is lowered here, as the returned frame runs later; it changes no result).
+    the Python workers, in batches of at most ROWS_AT_ONCE rows and about BATCH_BYTES (settings of the
+    session that are lowered here, as the returned frame runs later; they change no result).
     """
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark = documents.sparkSession
-    if not 0 < int(spark.conf.get(setting)) <= ROWS_AT_ONCE:
-        spark.conf.set(setting, ROWS_AT_ONCE)
+    if not 0 < int(spark.conf.get(BATCH_ROWS_NAME)) <= ROWS_AT_ONCE:
+        spark.conf.set(BATCH_ROWS_NAME, ROWS_AT_ONCE)
+    spark.conf.set(BATCH_BYTES_NAME, BATCH_BYTES)
     models = spark.sparkContext.broadcast(train(samples))
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")

@@ -32,6 +32,7 @@ BLOOM_BITS = 1 << 24
 PAIRS_AT_ONCE = 256
 SPOKES = 512  # texts, about, that meet one copy of their hub's bag
 TEXTS_AT_ONCE = 1024
+REMEMBERED = 1 << 16  # words, or texts, that a worker remembers to save work
 HOT, MOST_HOT = 4096, 1 << 17  # rows that make a token of a hub hot; hot tokens at most
 SMALL = 16  # texts of a bucket up to which pairs are compared without further proof
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +55,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < 200_000:
+        if len(self) < REMEMBERED:
             self[word] = value
         return value
 
@@ -198,7 +199,7 @@ def _bags_of(settings: Settings, wanted):
                 out = []
                 for i in np.flatnonzero(bloom.hits(wanted.value, pairs[:, 0], pairs[:, 1])):
                     if keys[i] not in done:
-                        if len(done) < 200_000:
+                        if len(done) < REMEMBERED:
                             done.add(keys[i])
                         out.append((*keys[i], shingles(hashes[i], settings.shingle).tobytes()))
                 yield pa.RecordBatch.from_arrays(

@@ -30,7 +30,7 @@ from dialoom.llm.workers import give_back, kept
 
 CAPACITY = 1024
 END_ID = 2
-CACHED = 200_000  # pieces of texts whose ids a worker remembers
+CACHED = 1 << 17  # pieces of texts whose ids a worker remembers
 ENCODED_AT_ONCE = 8192  # new ones that the tokenizer gets at a time
 BLOCK = 1 << 20  # bytes of texts a worker handles at a time
 

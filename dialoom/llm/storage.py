@@ -55,13 +55,18 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch, about, so that long texts make small batches
+BATCH_ROWS_NAME, BATCH_BYTES_NAME = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within this block, Python workers get at most so many rows at once; for jobs that run in it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    """Within this block, Python workers get at most so many rows, and about BATCH_BYTES, at once; for jobs that run in it."""
+    before = {name: spark.conf.get(name) for name in (BATCH_ROWS_NAME, BATCH_BYTES_NAME)}
+    spark.conf.set(BATCH_ROWS_NAME, rows)
+    spark.conf.set(BATCH_BYTES_NAME, BATCH_BYTES)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
