@@ -35,6 +35,8 @@ TEXTS_AT_ONCE = 1024
 REMEMBERED = 1 << 16  # words, or texts, that a worker remembers to save work
 HOT, MOST_HOT = 4096, 1 << 17  # rows that make a token of a hub hot; hot tokens at most
 SMALL = 16  # texts of a bucket up to which pairs are compared without further proof
+AT_HAND = 1 << 20  # differences from a hub, of all its texts, up to which one task searches them
+PAIRS_MET = 1 << 18  # candidates of such a search held at once
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -252,6 +254,87 @@ def _compared(least: float):
     return run
 
 
+def links_beyond_hub(linked: np.ndarray, missing: np.ndarray, extra: np.ndarray, size: int, tokens: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of places of texts of one hub that join all texts with a link, where the hub itself does not.
+
+    Candidates are those of ``_wide_bucket_pairs``. Their exact similarity follows from what sets both
+    texts apart from the hub; a pair that other links have joined already is left out.
+    """
+    if linked.all() or len(tokens) < 2:
+        return []
+    total, weight = missing + extra, missing + least * extra
+    slack = weight - (1 - least) * size
+    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    _, token, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    free = np.bincount(token, weights=~linked[owner])
+    common = (n > 1) & (free > 0)
+    owner, token = owner[common[token]], token[common[token]]
+    order = np.lexsort((token, n[token], owner))
+    owner, token = owner[order], token[order]
+    shared = np.bincount(owner, minlength=len(tokens))
+    nth = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner] + 1
+    place = (total - shared)[owner] + nth
+    later = total[owner] - place
+    early = lambda w: place <= (total - np.maximum(np.ceil(w / (1 + least) - 1e-9), 1) + 1)[owner]
+    xs, ys = np.flatnonzero(early(slack) & ~linked[owner]), np.flatnonzero(early(weight))
+    ys = ys[np.argsort(token[ys], kind="stable")]
+    start = np.searchsorted(token[ys], token[xs])
+    met = np.searchsorted(token[ys], token[xs], "right") - start
+    parent = list(range(len(tokens) + 1))  # the last is the hub
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i in np.flatnonzero(linked).tolist():
+        parent[i] = len(tokens)
+    out, at, ends = [], 0, np.cumsum(met)
+    while at < len(xs):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_MET, "right")))
+        width = met[at:end]
+        i = np.repeat(xs[at:end], width)
+        j = ys[np.repeat(start[at:end] - (np.cumsum(width) - width), width) + np.arange(width.sum())]
+        at, x, y = end, owner[i], owner[j]
+        most = np.minimum(np.minimum(missing[x], missing[y]) + np.minimum(extra[x], extra[y]), 1 + np.minimum(later[i], later[j]))
+        enough = (x != y) & (linked[y] | (x < y)) & ((1 + least) * most >= slack[x] + weight[y] - 1e-9)
+        for code in np.unique(x[enough] * len(tokens) + y[enough]).tolist():
+            x, y = divmod(code, len(tokens))
+            if (a := root(x)) == (b := root(y)):
+                continue
+            both = len(np.intersect1d(tokens[x], tokens[y], assume_unique=True))
+            if size - missing[x] - missing[y] + both >= least * (size + extra[x] + extra[y] - both) - 1e-9:
+                parent[a] = b
+                out.append((x, y))
+    return out
+
+
+def _searched(least: float):
+    """Links (a, b) between texts of each hub; rows come sorted by the hub ``b``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
+        hub, rows = None, []
+
+        def links() -> pa.RecordBatch:
+            ids, linked, missing, extra, size, tokens = zip(*rows, strict=True) if rows else [()] * 6
+            found = links_beyond_hub(np.array(linked, bool), np.array(missing, np.int64), np.array(extra, np.int64), size[0] if rows else 0, list(tokens), least)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in found], pa.int64()), pa.array([ids[y] for _, y in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("b", "a", "linked", "missing", "extra", "size")]
+            for b, *row, tokens in zip(*columns, batch.column("tokens"), strict=True):
+                if b != hub:
+                    yield links()
+                    hub = b
+                rows.append((*row, tokens.values.to_numpy()))
+        yield links()
+        give_back()
+
+    return run
+
+
 def _verified(pairs: DataFrame, bags: DataFrame, least: float, name: str) -> DataFrame:
     """a, b, linked, missing, extra, size, tokens of distinct pairs of text ids (a, b, wide).
 
@@ -341,17 +424,36 @@ def _classes(documents: DataFrame, texts: DataFrame, members: DataFrame, setting
     spokes = stars.filter("_rep != _hub").groupBy(F.col("_rep").alias("a"), F.col("_hub").alias("b")).agg((F.max("_n") > SMALL).alias("wide"))
     checked = _verified(spokes, bags, settings.similarity, "spokes")
 
-    others = _small_bucket_pairs(stars, checked).union(_wide_bucket_pairs(checked, settings.similarity)).distinct()
+    near, far = _by_load(checked)
+    with arrow_batches(spark, TEXTS_AT_ONCE):
+        beyond = stored(near.repartition("b").sortWithinPartitions("b").mapInArrow(_searched(settings.similarity), "a long, b long"), "beyond")
+    others = _small_bucket_pairs(stars, checked)
+    if far is not None:
+        others = others.union(_wide_bucket_pairs(far, settings.similarity))
+    others = others.distinct()
     tested = stored(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tested")
     rest = others.join(tested, ["a", "b"], "left_anti").withColumn("wide", F.lit(False))
     more = _verified(rest, bags, settings.similarity, "others")
-    links = checked.filter("linked").select("a", "b").union(more.filter("linked").select("a", "b"))
+    links = checked.filter("linked").select("a", "b").union(more.filter("linked").select("a", "b")).union(beyond)
     components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     for spent in (bags, busy, stars, tested):
         drop_stored(spent)
     return components.select(F.col("node").alias("_rep"), F.col("component").alias("_class"))
 
 
+def _by_load(checked: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The wide rows of hubs whose differences one task can search, and those of the other hubs, None if there are none.
+
+    Hubs to which every text is linked need no search.
+    """
+    wide = checked.filter(F.col("tokens").isNotNull())
+    loads = wide.groupBy("b").agg(F.sum(F.size("tokens")).alias("_load"), F.count("*").alias("_texts"), F.bool_and("linked").alias("_done"))
+    loads = stored(loads.filter("_texts > 1 AND NOT _done").select("b", "_load"), "loads")
+    near = wide.join(loads.filter(F.col("_load") <= AT_HAND), "b", "left_semi")
+    heavy = loads.filter(F.col("_load") > AT_HAND)
+    return near, None if heavy.isEmpty() else wide.join(heavy, "b", "left_semi")
+
+
 def _small_bucket_pairs(stars: DataFrame, checked: DataFrame) -> DataFrame:
     """Pairs (a < b) of buckets of at most SMALL texts that are not both linked to the hub."""
     small = stars.filter((F.col("_n") <= SMALL) & (F.col("_n") > 2) & (F.col("_rep") != F.col("_hub")))
@@ -363,13 +465,13 @@ def _small_bucket_pairs(stars: DataFrame, checked: DataFrame) -> DataFrame:
 
 
 def _wide_bucket_pairs(checked: DataFrame, least: float) -> DataFrame:
-    """Pairs (a < b) of one hub that share a rare enough difference from it to be linked.
+    """Pairs (a < b) of one hub that share a rare enough difference from it to be linked; ``checked`` holds wide rows only.
 
     Only tokens of several texts, one of them not linked to the hub, can bring forth a pair; all
     others count as the rarest ones. Hot tokens, such as one that every text of a
     hub lacks, are counted by partial sums and sent to all tasks, so that their rows gather nowhere.
     """
-    apart = checked.filter(F.col("tokens").isNotNull()).select(F.col("b").alias("hub"), F.col("a").alias("y"), "linked", "missing", "extra", "size", F.explode("tokens").alias("token"))
+    apart = checked.select(F.col("b").alias("hub"), F.col("a").alias("y"), "linked", "missing", "extra", "size", F.explode("tokens").alias("token"))
     apart = stored(apart, "apart")
     least_hot = max(HOT, -(-apart.count() // MOST_HOT))  # so many rows have at most MOST_HOT tokens as frequent
     free = F.count(F.when(~F.col("linked"), 1))

@@ -119,3 +119,51 @@ def test_small_table_against_all_pairs(spark):
     rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
     want = {rows[i].doc_id: rows[j].doc_id for i, j in brute([r.text for r in rows]).items()}
     assert run(docs) == want
+
+
+def degrees_of_change(rng, n):
+    words = [f"w{rng.integers(5000)}" for _ in range(200)]
+    texts = [" ".join(words)]
+    for share in rng.uniform(0.005, 0.06, n):
+        far = edited(rng, words, share)
+        texts += [far, edited(rng, far.split(), 0.01)] if share > 0.045 else [far]
+    return texts
+
+
+@pytest.mark.parametrize("at_hand", [0, N.AT_HAND])
+def test_differences_become_rows_only_beyond_a_bound(spark, monkeypatch, at_hand):
+    """Hubs of moderate size are searched without a row for each difference, larger ones with them; classes are the same."""
+    made, stored = {}, N.stored
+
+    def counted(frame, name):
+        table = stored(frame, name)
+        made[name] = made.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(N, "stored", counted)
+    monkeypatch.setattr(N, "AT_HAND", at_hand)
+    texts = degrees_of_change(np.random.default_rng(8), 70)
+    assert run(documents(spark, texts)) == brute(texts)
+    assert made["loads"] > 0
+    assert (made.get("apart", 0) > 0) == (at_hand == 0)
+
+
+@pytest.mark.parametrize("pairs_met", [1, N.PAIRS_MET])
+def test_search_beyond_a_hub_joins_what_all_pairs_join(monkeypatch, pairs_met):
+    monkeypatch.setattr(N, "PAIRS_MET", pairs_met)
+    rng = np.random.default_rng(9)
+    for seed in range(12):
+        hub, *bags = (N.levels(N.shingles(N.word_hashes(N.words_of(t)), 5)) for t in degrees_of_change(rng, 10 + 4 * seed))
+        tokens = [np.setxor1d(b, hub).view(np.int64) for b in bags]
+        missing = np.array([len(np.setdiff1d(hub, b)) for b in bags])
+        extra = np.array([len(np.setdiff1d(b, hub)) for b in bags])
+        near = np.array([N.similarity(b, hub) >= 0.8 for b in bags])
+        assert not near.all()
+        parts = []
+        for links in (N.links_beyond_hub(near, missing, extra, len(hub), tokens, 0.8), [(i, j) for i in range(len(bags)) for j in range(i) if N.similarity(bags[i], bags[j]) >= 0.8]):
+            label = np.where(near, -1, np.arange(len(bags)))
+            for i, j in links:
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+            parts.append(label.tolist())
+        assert parts[0] == parts[1]
+    assert N.links_beyond_hub(np.ones(0, bool), np.ones(0, int), np.ones(0, int), 0, [], 0.8) == []
