@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dialoom.llm import bloom
 from dialoom.llm.components import connected_components
-from dialoom.llm.storage import arrow_batches, drop_stored, release_shuffles, stored
+from dialoom.llm.storage import arrow_batches, drop_stored, release_shuffles, stored, stored_by
 from dialoom.llm.workers import drop_kept, give_back, kept
 
 
@@ -335,17 +335,18 @@ def _searched(least: float):
     return run
 
 
-def _verified(pairs: DataFrame, bags: DataFrame, least: float, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, busy: DataFrame, bags: DataFrame, least: float, name: str) -> DataFrame:
     """a, b, linked, missing, extra, size, tokens of distinct pairs of text ids (a, b, wide).
 
-    A text b of many pairs, such as a hub, has its bag copied once for about SPOKES of them. Bags are
-    sent out once, to every place where they are wanted, and meet there in sorted order.
+    A text b of many pairs, such as a hub, has its bag copied once for about SPOKES of them. The places
+    where a bag is wanted go to the bags, which are stored by their texts' keys, so that bags are sent
+    once, from there to every such place, and meet there in sorted order.
     """
     copies = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("_copies")), "copies")
     partners = pairs.join(copies, "b").select(F.col("a").alias("_rep"), "b", F.pmod(F.xxhash64("a"), F.col("_copies")).cast("int").alias("_salt"), "a", "wide")
     own = copies.select(F.col("b").alias("_rep"), "b", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_salt"), F.lit(None).cast("long").alias("a"), F.lit(False).alias("wide"))
-    places = stored(partners.union(own), "places")
-    sent = bags.join(places, "_rep").select("b", "_salt", "a", "wide", "_bag").repartition("b", "_salt")
+    places = stored(partners.union(own).join(busy, "_rep").select("_t0", "_t1", "b", "_salt", "a", "wide"), "places")
+    sent = bags.join(places, ["_t0", "_t1"]).select("b", "_salt", "a", "wide", "_bag").repartition("b", "_salt")
     with arrow_batches(pairs.sparkSession, PAIRS_AT_ONCE):  # a row holds a whole bag
         met = sent.sortWithinPartitions("b", "_salt", F.col("a").asc_nulls_first())
         done = stored(met.mapInArrow(_compared(least), "a long, b long, linked boolean, missing int, extra int, size int, tokens array<long>"), name)
@@ -382,9 +383,11 @@ def near_duplicate_classes(documents: DataFrame, settings: Settings = Settings()
         signed.groupBy("_t0", "_t1").agg(F.min("_row").alias("_rep"), F.first("_bands").alias("_bands"), F.min(order).alias("_first"), F.count("*").alias("_n")), "texts"
     )
     banded = texts.filter(F.col("_bands").isNotNull()).select("_rep", F.explode("_bands").alias("_key"))
-    shared = stored(banded.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key"), "buckets")
-    members = stored(banded.join(shared, "_key", "left_semi").select("_key", "_rep"), "members")
-    drop_stored(shared)
+    shared = banded.withColumn("_n", F.count("*").over(Window.partitionBy("_key"))).filter("_n > 1")  # keys are sent once
+    members = stored(shared.select("_key", "_rep"), "members")
+    with_bands, signed, texts = (signed, texts), stored(signed.drop("_bands"), "rows"), stored(texts.drop("_bands"), "named_texts")
+    for spent in with_bands:  # most of their bytes are bands
+        drop_stored(spent)
     release_shuffles(documents.sparkSession)
     classes = _classes(documents, texts, members, settings, bloom_bits)
     labels = stored(
@@ -410,8 +413,8 @@ def _classes(documents: DataFrame, texts: DataFrame, members: DataFrame, setting
     wanted = spark.sparkContext.broadcast(bloom.build(busy, F.col("_t0"), F.col("_t1"), bloom_bits))
     raw = documents.select("text").mapInArrow(_bags_of(settings, wanted), "_t0 long, _t1 long, _bag binary")
     with arrow_batches(spark, TEXTS_AT_ONCE):
-        found = raw.join(busy, ["_t0", "_t1"]).groupBy("_t0", "_t1", "_rep").agg(F.first("_bag").alias("_bag"))  # grouped where the join left them
-        bags = stored(found.select("_rep", "_bag"), "bags")
+        found = raw.join(busy, ["_t0", "_t1"]).groupBy("_t0", "_t1").agg(F.first("_bag").alias("_bag"))  # grouped and stored where the join left them
+        bags = stored_by(found, "bags", ["_t0", "_t1"])
     release_shuffles(spark)
 
     sizes = stored(members.groupBy("_key").agg(F.count("*").alias("_n")), "sizes")
@@ -422,7 +425,7 @@ def _classes(documents: DataFrame, texts: DataFrame, members: DataFrame, setting
     for spent in (sizes, ranks, hubs):
         drop_stored(spent)
     spokes = stars.filter("_rep != _hub").groupBy(F.col("_rep").alias("a"), F.col("_hub").alias("b")).agg((F.max("_n") > SMALL).alias("wide"))
-    checked = _verified(spokes, bags, settings.similarity, "spokes")
+    checked = _verified(spokes, busy, bags, settings.similarity, "spokes")
 
     near, far = _by_load(checked)
     with arrow_batches(spark, TEXTS_AT_ONCE):
@@ -433,7 +436,7 @@ def _classes(documents: DataFrame, texts: DataFrame, members: DataFrame, setting
     others = others.distinct()
     tested = stored(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tested")
     rest = others.join(tested, ["a", "b"], "left_anti").withColumn("wide", F.lit(False))
-    more = _verified(rest, bags, settings.similarity, "others")
+    more = _verified(rest, busy, bags, settings.similarity, "others")
     links = checked.filter("linked").select("a", "b").union(more.filter("linked").select("a", "b")).union(beyond)
     components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     for spent in (bags, busy, stars, tested):

@@ -167,3 +167,24 @@ def test_search_beyond_a_hub_joins_what_all_pairs_join(monkeypatch, pairs_met):
             parts.append(label.tolist())
         assert parts[0] == parts[1]
     assert N.links_beyond_hub(np.ones(0, bool), np.ones(0, int), np.ones(0, int), 0, [], 0.8) == []
+
+
+def test_bags_and_keys_are_sent_once(spark, monkeypatch):
+    """Bags do not move to meet the places where they are wanted, and band keys move in one exchange."""
+    plans, stored = {}, N.stored
+
+    def planned(frame, name):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return stored(frame, name)
+
+    monkeypatch.setattr(N, "stored", planned)
+    texts = family(np.random.default_rng(10), 12, 120, 0.02)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert run(documents(spark, texts)) == brute(texts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans["spokes"].count("Exchange ") == 2  # the places to the bags, then the bags to their places
+    assert plans["members"].count("Exchange ") == 1
+    assert not spark.catalog.listTables()
