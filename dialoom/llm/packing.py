@@ -13,9 +13,8 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
-from itertools import chain, compress
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -30,8 +29,10 @@ from dialoom.llm.workers import give_back, kept
 
 CAPACITY = 1024
 END_ID = 2
-CACHED = 1 << 17  # pieces of texts whose ids a worker remembers
+CACHED = 1 << 19  # pieces of texts whose ids a worker remembers
+IDS_EACH = 8  # ids that they have on average at most
 ENCODED_AT_ONCE = 8192  # new ones that the tokenizer gets at a time
+JOINED = 64  # new words that its model gets as one string
 BLOCK = 1 << 20  # bytes of texts a worker handles at a time
 
 
@@ -143,22 +144,19 @@ def pack(items: DataFrame, length: str, order: list[str], capacity: int = CAPACI
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 _PLAIN = re.compile(rf"[{_LETTERS}0-9 \t\n\r!-/:-@\[-`{{-~]*")
 _PRE_TOKEN = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-_SINGLE = re.compile(rf" ?(?:[{_LETTERS}]+|[0-9]+)|[,.;:!?\n]")  # surely one pre-token
+_WORD = rf"\A ?(?:[{_LETTERS}]+|[0-9]+)\z"  # surely one pre-token
 _LETTER_OR_DIGIT = re.compile(rf"[{_LETTERS}0-9]")
 STOPS = ",.;:!?"  # texts are cut before these, before spaces, and on both sides of newlines
-NEWLINE, SPACED, STOP, OTHER, WORD, EMPTY, BAD = range(7)  # how a piece begins or ends
+CUT_BEFORE = np.isin(np.arange(256), list(f" \n{STOPS}".encode()))
+NEWLINE, SPACED, STOP, OTHER, WORD, BAD = range(6)  # how a piece begins or ends
 
 
-def _edges(piece: str, single: bool) -> tuple[int, int]:
+def _edges(piece: str) -> tuple[int, int]:
     """How a piece begins (NEWLINE, SPACED, STOP, OTHER) and ends (NEWLINE, WORD, OTHER); BAD if cuts beside it are not safe."""
     if piece == "\n":
         return NEWLINE, NEWLINE
-    if not piece:
-        return EMPTY, EMPTY
     if piece in STOPS:
         return STOP, OTHER
-    if single:
-        return SPACED if piece[0] == " " else OTHER, WORD
     body = piece[1:] if piece[0] == " " else piece
     if not body or any(c.isspace() or c == "\u180e" for c in (body[0], body[-1])):
         return BAD, BAD
@@ -166,22 +164,106 @@ def _edges(piece: str, single: bool) -> tuple[int, int]:
     return head, WORD if _LETTER_OR_DIGIT.match(body[-1]) else OTHER
 
 
-SAFE = np.zeros((7, 7), bool)  # a cut between a piece that ends so and one that begins so changes no token
+SAFE = np.zeros((6, 6), bool)  # a cut between a piece that ends so and one that begins so changes no token
 for _end, _begins in ((NEWLINE, (SPACED, STOP, OTHER)), (WORD, (NEWLINE, SPACED, STOP)), (OTHER, (NEWLINE, SPACED))):
     SAFE[_end, _begins] = True
 
 
-class _Places(dict):
-    """Numbers keys as they come and lists the new ones."""
-
-    def __init__(self, *known) -> None:
-        super().__init__(*known)
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = place = len(self)
-        self.new.append(key)
-        return place
+WIDTH = 24  # bytes of a piece that the table holds itself; longer pieces stand in a dictionary
+_MASKS = np.array([[(1 << 8 * min(max(n - at, 0), 8)) - 1 for at in range(0, WIDTH, 8)] for n in range(WIDTH + 1)], np.uint64)
+_MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where texts without nulls begin and the last ends in their joined bytes, and these."""
+    texts = texts.cast(pa.large_string())
+    _, ends, held = texts.buffers()
+    ends = np.frombuffer(ends or bytes(8), np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return ends - ends[0], np.frombuffer(held or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+class _Places:
+    """Places of pieces, numbered as they come: a hash table with the pieces' bytes (no NUL) as keys, by whole arrays."""
+
+    def __init__(self) -> None:
+        self.size = 0
+        self.keys = np.zeros((1 << 12, WIDTH // 8), np.uint64)  # of every place; zero where a dictionary has it
+        self.slots = np.full(1 << 13, -1, np.int32)
+        self.long: dict[str, int] = {}
+
+    def __len__(self) -> int:
+        return self.size
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        """The slots where keys are first looked for."""
+        mixed = keys @ _MIXERS
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIXERS[1]
+        return (mixed >> np.uint64(32)).astype(np.int64) & (len(self.slots) - 1)
+
+    def put(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Enter keys that are not there yet; the next free slot takes what finds its own one taken."""
+        at = self.at(keys)
+        while len(at):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = places[free]
+            left = self.slots[at] != places
+            at, places = (at[left] + 1) & (len(self.slots) - 1), places[left]
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 where there is none."""
+        found, at, left = np.full(len(keys), -1, np.int64), self.at(keys), np.arange(len(keys))
+        while len(left):
+            held = self.slots[at]
+            same = (held >= 0) & (self.keys[held] == keys).all(1)
+            found[left[same]] = held[same]
+            other = (held >= 0) & ~same
+            at, left, keys = (at[other] + 1) & (len(self.slots) - 1), left[other], keys[other]
+        return found
+
+    def __call__(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of distinct pieces, and which of these are new."""
+        ends, held = _bytes_of(pieces)
+        sizes = np.diff(ends)
+        windows = np.lib.stride_tricks.sliding_window_view(np.append(held, np.zeros(WIDTH, np.uint8)), WIDTH)
+        keys = windows[ends[:-1]].view("<u8") & _MASKS[np.minimum(sizes, WIDTH)]
+        long = np.flatnonzero(sizes > WIDTH)
+        keys[long] = 0
+        places = self.get(keys)
+        names = pieces.take(pa.array(long)).to_pylist()
+        places[long] = [self.long.get(x, -1) for x in names]
+        new = np.flatnonzero(places < 0)
+        places[new] = np.arange(self.size, self.size + len(new))
+        self.grow(len(new))
+        self.long.update(zip(names, places[long].tolist(), strict=True))
+        self.keys[self.size : self.size + len(new)] = keys[new]
+        self.size += len(new)
+        short = new[sizes[new] <= WIDTH]
+        self.put(keys[short], places[short])
+        return places, new
+
+    def grow(self, more: int) -> None:
+        """Room for so many more, with at least half of the slots free."""
+        if self.size + more > len(self.keys):
+            room = max(self.size + more, len(self.keys) * 3 // 2)
+            self.keys = np.concatenate([self.keys[: self.size], np.zeros((room - self.size, WIDTH // 8), np.uint64)])
+        if 2 * (self.size + more) > len(self.slots):
+            self.slots = np.full(1 << (4 * (self.size + more)).bit_length() - 1, -1, np.int32)
+            self.put_all()
+
+    def put_all(self) -> None:
+        short = np.ones(self.size, bool)
+        short[list(self.long.values())] = False
+        short = np.flatnonzero(short)
+        self.put(self.keys[short], short)
+
+    def keep(self, places: np.ndarray) -> None:
+        """Keep what stands at these places, in order, and number it anew."""
+        renamed = dict(zip(places.tolist(), range(len(places)), strict=True)) if self.long else {}
+        self.long = {x: renamed[k] for x, k in self.long.items() if k in renamed}
+        self.keys[: len(places)] = self.keys[places]
+        self.size = len(places)
+        self.slots.fill(-1)
+        self.put_all()
 
 
 class ChunkEncoder:
@@ -207,9 +289,12 @@ class ChunkEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level models write as they are, the rest from 256 on
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        longer = {c for x in self.tokenizer.get_vocab() if len(x) > 1 for c in x}
+        alone = [b for b in (*range(1, 9), *range(14, 28)) if self.letters[b] not in longer and self.model.token_to_id(self.letters[b]) is not None]
+        self.mark = chr(alone[0]) if alone and not self.model.ignore_merges else None  # a character that no merge joins to another
         self.places = _Places()
         self.ids = np.zeros(0, np.uint32)
-        self.starts, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        self.starts, self.sizes, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.heads, self.tails = np.zeros(0, np.int8), np.zeros(0, np.int8)
 
     def added_tokens(self) -> list[str]:
@@ -234,47 +319,58 @@ class ChunkEncoder:
         """Ids, joined, and their number in each text."""
         return self.joined([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def encode_singles(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same of strings that are one pre-token each, so that the model takes them as they are."""
-        shown = [(x.encode().decode("latin-1")).translate(self.letters) for x in pieces]
-        return self.joined([[t.id for t in self.model.tokenize(x)] for x in shown])
-
-    def learn(self) -> None:
-        new, self.places.new = self.places.new, []
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of strings that are one pre-token each: the model takes many at once, as no merge reaches across the mark."""
+        if self.mark is None:
+            return self.encode(words)
+        groups = (words[at : at + JOINED] for at in range(0, len(words), JOINED))
+        shown = ((self.mark.join(x) + self.mark).encode().decode("latin-1").translate(self.letters) for x in groups)
+        ids, _ = self.joined([[t.id for t in self.model.tokenize(x)] for x in shown])
+        ends = ids == self.model.token_to_id(self.letters[ord(self.mark)])
+        return ids[~ends], np.diff(np.flatnonzero(ends), prepend=-1) - 1
+
+    def learn(self, new: pa.Array) -> None:
+        """Ids, number, and edges of new pieces, in their order."""
+        parts = []
         for at in range(0, len(new), ENCODED_AT_ONCE):
-            part = new[at : at + ENCODED_AT_ONCE]
-            single = np.fromiter((_SINGLE.fullmatch(x) is not None for x in part), bool, len(part))
-            sizes = np.zeros(len(part), np.int64)
-            ids, sizes[single] = self.encode_singles(list(compress(part, single)))
-            other_ids, sizes[~single] = self.encode(list(compress(part, ~single)))
+            part = new.slice(at, ENCODED_AT_ONCE)
+            is_word = pc.match_substring_regex(part, _WORD)
+            word, others = is_word.to_numpy(zero_copy_only=False), part.filter(pc.invert(is_word)).to_pylist()
+            sizes, edges = np.zeros(len(part), np.int32), np.full((len(part), 2), WORD, np.int8)
+            ids, sizes[word] = self.encode_words(part.filter(is_word).to_pylist())
+            other_ids, sizes[~word] = self.encode(others)
             both = np.empty(len(ids) + len(other_ids), np.uint32)
-            mine = np.repeat(single, sizes)
+            mine = np.repeat(word, sizes)
             both[mine], both[~mine] = ids, other_ids
-            edges = np.array(list(map(_edges, part, single.tolist())), np.int8)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.ids, self.sizes = np.concatenate([self.ids, both]), np.concatenate([self.sizes, sizes])
+            edges[:, 0] = np.where(pc.starts_with(part, " ").to_numpy(zero_copy_only=False), SPACED, OTHER)
+            edges[~word] = np.array(list(map(_edges, others)), np.int8).reshape(-1, 2)
+            parts.append((both, sizes, edges))
+        if parts:
+            ids, sizes, edges = map(np.concatenate, zip(*parts, strict=True))
+            self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
             self.heads, self.tails = np.concatenate([self.heads, edges[:, 0]]), np.concatenate([self.tails, edges[:, 1]])
-            self.uses = np.concatenate([self.uses, np.zeros(len(part), np.int64)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
 
     def forget(self) -> None:
-        """Keep at most half of the pieces, the most used ones, and age their use."""
+        """Keep at most half of the pieces and ids, those of the most used pieces, and age their use."""
         most = np.argsort(-self.uses, kind="stable")[: CACHED // 2]
-        keep = np.zeros(len(self.places), bool)
-        keep[most[self.uses[most] > 1]] = True
-        kept, names = np.flatnonzero(keep), list(self.places)
-        self.places = _Places({names[i]: k for k, i in enumerate(kept)})
+        kept = np.sort(most[(self.uses[most] > 1) & (np.cumsum(self.sizes[most]) <= CACHED * IDS_EACH // 2)])
+        self.places.keep(kept)
         self.ids = self.gather(kept)
         self.sizes, self.uses, self.heads, self.tails = self.sizes[kept], self.uses[kept] // 2, self.heads[kept], self.tails[kept]
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
 
-    def find(self, pieces: list[str], times: np.ndarray) -> np.ndarray:
-        """Places of distinct pieces, which come up so many times."""
-        if len(self.places) > CACHED:
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """Places of pieces."""
+        if len(self.places) > CACHED or len(self.ids) > CACHED * IDS_EACH:
             self.forget()
-        places = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
-        self.learn()
-        self.uses[places] += times
-        return places
+        coded = pieces.dictionary_encode()
+        nth = coded.indices.to_numpy()
+        places, new = self.places(coded.dictionary)
+        self.learn(coded.dictionary.take(pa.array(new)))
+        self.uses[places] += np.bincount(nth, minlength=len(places))
+        return places[nth]
 
     def gather(self, places: np.ndarray) -> np.ndarray:
         """Ids of the pieces at these places, joined."""
@@ -286,32 +382,34 @@ class ChunkEncoder:
         """Ids of a text that may not be cut at all spaces and marks."""
         if not _PLAIN.fullmatch(text) or any(x in text for x in self.added):
             return self.encode([text])[0]
-        times = Counter(_PRE_TOKEN.findall(text))
-        places = dict(zip(times, self.find(list(times), np.fromiter(times.values(), np.int64, len(times))).tolist(), strict=True))
-        return self.gather(np.fromiter(map(places.__getitem__, _PRE_TOKEN.findall(text)), np.int64, times.total()))
+        return self.gather(self.find(pa.array(_PRE_TOKEN.findall(text), pa.string())))
+
+    @staticmethod
+    def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of texts without nulls, one after another, and where those of each text begin and the last ones end."""
+        ends, held = _bytes_of(texts)
+        first = CUT_BEFORE[held]
+        first[1:] |= held[:-1] == ord("\n")
+        first[ends[:-1][ends[:-1] < ends[1:]]] = True
+        starts = np.flatnonzero(first)
+        bounds = np.searchsorted(starts, ends)
+        return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(np.append(starts, len(held))), pa.py_buffer(held)]), bounds
 
     def __call__(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
         texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
-        marked = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)  # NUL marks the cuts
-        cut = pc.if_else(pa.array(marked), "", texts) if marked.any() else texts
-        for found, put in ((" ", "\0 "), *((x, "\0" + x) for x in STOPS), ("\n", "\0\n\0")):
-            cut = pc.replace_substring(cut, found, put)
-        lists = pc.split_pattern(cut, "\0")
-        pieces = lists.flatten().dictionary_encode()
-        nth = pieces.indices.to_numpy()
-        places = self.find(pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(nth, minlength=len(pieces.dictionary)))[nth]
-        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        real = self.heads[places] != EMPTY
-        places, owner = places[real], owner[real]
+        marked = pc.match_substring(texts, "\0")  # NUL fills up the keys of pieces
+        odd = marked.to_numpy(zero_copy_only=False).copy()
+        pieces, bounds = self.cut(pc.if_else(marked, "", texts) if odd.any() else texts)
+        places = self.find(pieces)
         heads, tails = self.heads[places], self.tails[places]
-        bad = heads == BAD
-        bad[1:] |= (owner[1:] == owner[:-1]) & ~SAFE[tails[:-1], heads[1:]]
-        odd = marked.copy()
-        odd[owner[bad]] = True
-        ends = np.cumsum(np.bincount(owner, weights=self.sizes[places], minlength=len(texts)).astype(np.int64))
-        flat = self.gather(places)
-        out = np.split(flat, ends[:-1]) if len(texts) else []
+        bad = np.zeros(len(places), bool)
+        bad[1:] = ~SAFE.ravel()[tails[:-1] * np.int8(len(SAFE)) + heads[1:]]
+        bad[bounds[:-1][bounds[:-1] < bounds[1:]]] = False
+        bad |= heads == BAD
+        odd[np.searchsorted(bounds, np.flatnonzero(bad), "right") - 1] = True
+        ends = np.append(0, np.cumsum(self.sizes[places]))[bounds[1:]]
+        out = np.split(self.gather(places), ends[:-1]) if len(texts) else []
         for i in np.flatnonzero(odd):
             out[i] = self.uncut(texts[int(i)].as_py())
         return out

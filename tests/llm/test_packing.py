@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +88,72 @@ def test_forgetting_changes_no_ids(monkeypatch):
         assert len(encoder.places) <= 40 + 200
 
 
+class Counted:
+    """A model that counts the strings it gets."""
+
+    def __init__(self, model):
+        self.model, self.calls = model, 0
+
+    def __getattr__(self, name):
+        return getattr(self.model, name)
+
+    def tokenize(self, text):
+        self.calls += 1
+        return self.model.tokenize(text)
+
+
+def invented(n, first=0):
+    return ["".join(chr(97 + (k * 7_919 + 1_000_003) // 26**i % 26) for i in range(5)) for k in range(first, first + n)]
+
+
+def test_new_words_go_to_the_model_together():
+    words, encoder, tokenizer = invented(6_400), packing.ChunkEncoder(PATH), Tokenizer.from_file(PATH)
+    encoder.model = Counted(encoder.model)
+    assert encoder([" ".join(words)])[0].tolist() == tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    assert 0 < encoder.model.calls <= 101
+
+
+def test_words_met_before_are_not_encoded_again():
+    encoder = packing.ChunkEncoder(PATH)
+    texts = [" ".join(invented(20_000, k)) for k in range(0, 200_000, 20_000)]
+    first = [encoder([x])[0] for x in texts]
+    encoder.model = Counted(encoder.model)
+    assert all((encoder([x])[0] == y).all() for x, y in zip(texts, first, strict=True))
+    assert encoder.model.calls == 0
+
+
+def test_words_alone_if_no_mark_is_free():
+    encoder, texts = packing.ChunkEncoder(PATH), ["Ein Wort, été 12\nund x", " ".join(invented(200))]
+    encoder.mark = None
+    assert [x.tolist() for x in encoder(texts)] == [x.tolist() for x in packing.ChunkEncoder(PATH)(texts)]
+
+
+def test_forgetting_long_pieces_and_many_ids(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 40)
+    rng, tokenizer, encoder = np.random.default_rng(2), Tokenizer.from_file(PATH), packing.ChunkEncoder(PATH)
+    for _ in range(60):
+        texts = [" ".join("éxy%"[k % 4] * int(k) for k in rng.integers(1, 60, 20)) for _ in range(3)]
+        assert [x.tolist() for x in encoder(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder.forget()
+    assert len(encoder.ids) <= 160 and len(encoder.places) <= 20
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_places_are_those_of_a_dictionary(monkeypatch, clash):
+    if clash:
+        monkeypatch.setattr(packing._Places, "at", lambda self, keys: np.full(len(keys), len(self.slots) - 3))
+    rng, places, known = np.random.default_rng(3), packing._Places(), {}
+    for _ in range(12):
+        pieces = list({"éa"[k % 2] * (int(k) % 40) + str(k % 7) for k in rng.integers(0, 4_000, 60 if clash else 2_000)})
+        got, new = places(pa.array(["-", *pieces], pa.string())[1:])
+        assert [pieces[k] for k in new] == [x for x in pieces if x not in known]
+        known |= {pieces[k]: len(known) + i for i, k in enumerate(new)}
+        assert got.tolist() == [known[x] for x in pieces] and len(places) == len(known)
+        kept = np.flatnonzero(rng.random(len(known)) < 0.7)
+        places.keep(kept)
+        known = {list(known)[k]: i for i, k in enumerate(kept)}
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.lists(TEXT, max_size=5))
 def test_chunks_give_the_tokenizers_ids(texts):
